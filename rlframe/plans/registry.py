@@ -30,18 +30,28 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+TIE_NUDGE = 2.0 ** -31
+
+
 def r6(c: str | Column) -> Column:
     """Round to 6 places and fold -0.0 into 0.0 (same rule as ``R6`` in SQL)."""
     c = F.col(c) if isinstance(c, str) else c
-    return (F.round(c.cast("double"), 6) + F.lit(0.0))
+    # half away from zero on the binary value, i.e. the arithmetic DuckDB's
+    # round() uses; Spark's round() rounds the shortest decimal string,
+    # which differs on exact ties. The 2^-31 nudge (same on both sides)
+    # moves exact decimal ties off the rounding boundary, so last-ulp
+    # differences between engines cannot flip the 6th digit.
+    x = c.cast("double") + F.lit(TIE_NUDGE)
+    return F.signum(x) * F.floor(F.abs(x) * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6) + F.lit(0.0)
 
 
 def R6(expr: str) -> str:
-    return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE) + {TIE_NUDGE!r}, 6) + 0.0)"
 
 
 def load_all() -> None:
     # importing the plan modules fills the registry
     from rlframe.plans import (  # noqa: F401
         q_advantage,
+        q_returns,
     )
