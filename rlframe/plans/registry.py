@@ -54,4 +54,5 @@ def load_all() -> None:
     from rlframe.plans import (  # noqa: F401
         q_advantage,
         q_returns,
+        q_scoring,
     )

@@ -105,3 +105,39 @@ SELECT conv_id, CAST(turn AS INTEGER) AS turn, role, text AS content FROM conver
 def sql_with(**views: str) -> str:
     """``WITH name AS (body), ...`` prefix for oracle SQL."""
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in views.items()) + "\n"
+
+
+# ------------------------------------------------------------- predictions
+def prediction_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(predictions, golds) from documents.
+
+    predictions: one per document ``(data_id, dataset, pred)`` with the
+    whole text as the predicted answer. golds: per dataset (= source) the
+    whole texts of its three lowest ``doc_id`` as ``(dataset, gold_idx, gold)``,
+    shared by every prediction of that dataset. The three lowest ids come
+    from three partial ``min`` aggregates, so a huge source never lands in
+    one task.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    ids = docs.select("doc_id", "source")
+    found = []
+    rest = ids
+    for i in range(3):
+        m = rest.groupBy("source").agg(F.min("doc_id").alias("gold_doc"))
+        found.append(m.select("source", F.lit(i).alias("gold_idx"), "gold_doc"))
+        if i < 2:
+            rest = rest.join(m, "source").where(F.col("doc_id") > F.col("gold_doc")).drop("gold_doc")
+    gold_ids = found[0].unionByName(found[1]).unionByName(found[2])
+    golds = gold_ids.join(docs.select(F.col("doc_id").alias("gold_doc"), F.col("text").alias("gold")),
+                          "gold_doc").select(F.col("source").alias("dataset"), "gold_idx", "gold")
+    preds = docs.select(F.col("doc_id").alias("data_id"), F.col("source").alias("dataset"),
+                        F.col("text").alias("pred"))
+    return preds, golds
+
+
+PREDS_SQL = "SELECT doc_id AS data_id, source AS dataset, text AS pred FROM documents"
+GOLDS_SQL = """
+SELECT source AS dataset, CAST(rk - 1 AS INTEGER) AS gold_idx, text AS gold
+FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk FROM documents)
+WHERE rk <= 3
+"""
