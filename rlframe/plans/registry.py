@@ -55,4 +55,5 @@ def load_all() -> None:
         q_advantage,
         q_returns,
         q_scoring,
+        q_transcript,
     )

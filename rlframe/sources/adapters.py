@@ -141,3 +141,111 @@ SELECT source AS dataset, CAST(rk - 1 AS INTEGER) AS gold_idx, text AS gold
 FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk FROM documents)
 WHERE rk <= 3
 """
+
+
+# ------------------------------------------------------------- transcripts
+def wrapped_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with assistant turns rewritten into the agent's tag format.
+
+    Non-final assistant turns become ``<think>text</think>`` + a call block
+    (a JSON call on even turns, plain text on odd ones); the final one
+    becomes think + answer. ``conv_id % 5`` selects broken variants so every
+    format-score branch is hit: 0 = missing ``</think>`` in calls,
+    1 = answer without think, 2 = no answer, 3 = blank answer. The answer is
+    the first user message when ``conv_id % 4 = 0`` (so it matches a gold),
+    else the assistant's own text. Per-conversation facts come from a
+    grouped aggregate joined back on ``conv_id``.
+    """
+    m = messages(spark, sf_dir)
+    facts = m.groupBy("conv_id").agg(
+        F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("last_asst"),
+        F.min_by(F.when(F.col("role") == "user", F.col("content")),
+                 F.when(F.col("role") == "user", F.col("turn"))).alias("first_user"))
+    d = m.join(facts, "conv_id")
+    k = F.pmod(F.col("conv_id"), F.lit(5))
+    c = F.col("content")
+    call = F.concat(
+        F.lit("\n<interaction_prompt>"),
+        F.when(F.pmod(F.col("turn"), F.lit(2)) == 0,
+               F.concat(F.lit('{"name": "prompt", "arguments": {"prompt": "c'), F.col("conv_id").cast("string"),
+                        F.lit("t"), F.col("turn").cast("string"), F.lit('"}}')))
+         .otherwise(F.concat(F.lit("plain request "), F.col("turn").cast("string"))),
+        F.lit("</interaction_prompt>"))
+    mid = F.concat(F.lit("<think>"), c, F.when(k == 0, F.lit("")).otherwise(F.lit("</think>")), call)
+    ans = F.when(F.pmod(F.col("conv_id"), F.lit(4)) == 0, F.coalesce(F.col("first_user"), F.lit(""))).otherwise(c)
+    final = (F.when(k == 1, F.concat(F.lit("<answer>"), ans, F.lit("</answer>")))
+              .when(k == 2, F.concat(F.lit("<think>"), c, F.lit("</think>")))
+              .when(k == 3, F.concat(F.lit("<think>"), c, F.lit("</think>\n<answer> </answer>")))
+              .otherwise(F.concat(F.lit("<think>"), c, F.lit("</think>\n<answer>"), ans, F.lit("</answer>"))))
+    content = (F.when(F.col("role") != "assistant", c)
+                .when(F.col("turn") < F.col("last_asst"), mid)
+                .otherwise(final))
+    return d.select("conv_id", "turn", "role", content.alias("content"), "first_user")
+
+
+# Fixed value list used to spread conversations over scorer routes.
+TRANSCRIPT_SOURCES = ("hotpotqa/hotpot_qa", "bdsaglam/musique", "xanhho/2WikiMultihopQA", "openai/gsm8k")
+
+
+def conv_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, data_source, golds) per conversation."""
+    m = messages(spark, sf_dir)
+    f = m.groupBy("conv_id").agg(
+        F.min_by(F.when(F.col("role") == "user", F.col("content")),
+                 F.when(F.col("role") == "user", F.col("turn"))).alias("first_user"))
+    src = F.element_at(F.array(*[F.lit(s) for s in TRANSCRIPT_SOURCES]),
+                       (F.pmod(F.col("conv_id"), F.lit(len(TRANSCRIPT_SOURCES))) + 1).cast("int"))
+    golds = F.array(F.coalesce(F.col("first_user"), F.lit("")),
+                    F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    return f.select("conv_id", src.alias("data_source"), golds.alias("golds"))
+
+
+WRAPPED_SQL = """
+SELECT m.conv_id, m.turn, m.role, f.first_user,
+  CASE WHEN m.role <> 'assistant' THEN m.content
+       WHEN m.turn < f.last_asst THEN
+         '<think>' || m.content || CASE WHEN m.conv_id % 5 = 0 THEN '' ELSE '</think>' END ||
+         chr(10) || '<interaction_prompt>' ||
+         CASE WHEN m.turn % 2 = 0 THEN '{"name": "prompt", "arguments": {"prompt": "c' || CAST(m.conv_id AS VARCHAR)
+                   || 't' || CAST(m.turn AS VARCHAR) || '"}}'
+              ELSE 'plain request ' || CAST(m.turn AS VARCHAR) END || '</interaction_prompt>'
+       ELSE CASE m.conv_id % 5
+              WHEN 1 THEN '<answer>' || CASE WHEN m.conv_id % 4 = 0 THEN coalesce(f.first_user, '') ELSE m.content END || '</answer>'
+              WHEN 2 THEN '<think>' || m.content || '</think>'
+              WHEN 3 THEN '<think>' || m.content || '</think>' || chr(10) || '<answer> </answer>'
+              ELSE '<think>' || m.content || '</think>' || chr(10) || '<answer>'
+                   || CASE WHEN m.conv_id % 4 = 0 THEN coalesce(f.first_user, '') ELSE m.content END || '</answer>'
+            END
+  END AS content
+FROM messages m JOIN (
+  SELECT conv_id, max(CASE WHEN role = 'assistant' THEN turn END) AS last_asst,
+         arg_min(content, turn) FILTER (WHERE role = 'user') AS first_user
+  FROM messages GROUP BY conv_id) f USING (conv_id)
+"""
+
+RENDER_SQL = """
+SELECT conv_id,
+  CASE WHEN arg_min(role, turn) = 'system'
+       THEN '<|im_start|>system' || chr(10) || arg_min(content, turn) || '<|im_end|>' || chr(10)
+       ELSE '<|im_start|>system' || chr(10) || 'You are Qwen, created by Alibaba Cloud. You are a helpful assistant.<|im_end|>' || chr(10)
+  END || coalesce(string_agg(piece, '' ORDER BY turn), '') AS transcript
+FROM (
+  SELECT conv_id, turn, role, content,
+    CASE WHEN role = 'user' OR (role = 'system' AND rn > 1) OR role = 'assistant'
+           THEN '<|im_start|>' || role || chr(10) || content || '<|im_end|>' || chr(10)
+         WHEN role = 'tool'
+           THEN CASE WHEN prev IS NULL OR prev <> 'tool' THEN '<|im_start|>user' ELSE '' END
+                || chr(10) || '<interaction_response>' || chr(10) || content || chr(10) || '</interaction_response>'
+                || CASE WHEN nxt IS NULL OR nxt <> 'tool' THEN '<|im_end|>' || chr(10) ELSE '' END
+         ELSE '' END AS piece
+  FROM (SELECT *, lag(role) OVER w AS prev, lead(role) OVER w AS nxt, row_number() OVER w AS rn
+        FROM wrapped WINDOW w AS (PARTITION BY conv_id ORDER BY turn)))
+GROUP BY conv_id
+"""
+
+CONV_FACTS_SQL = """
+SELECT conv_id,
+  ['hotpotqa/hotpot_qa', 'bdsaglam/musique', 'xanhho/2WikiMultihopQA', 'openai/gsm8k'][conv_id % 4 + 1] AS data_source,
+  [coalesce(arg_min(content, turn) FILTER (WHERE role = 'user'), ''), 'c' || CAST(conv_id AS VARCHAR)] AS golds
+FROM messages GROUP BY conv_id
+"""
