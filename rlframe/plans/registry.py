@@ -56,4 +56,5 @@ def load_all() -> None:
         q_returns,
         q_scoring,
         q_transcript,
+        q_losses,
     )
