@@ -57,4 +57,5 @@ def load_all() -> None:
         q_scoring,
         q_transcript,
         q_losses,
+        q_metrics,
     )

@@ -44,7 +44,7 @@ SELECT l_returnflag AS data_source,
             ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INTEGER) AS sample_idx,
        'p' || CAST(l_orderkey AS VARCHAR) AS prompt,
        l_discount AS score,
-       CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END AS acc,
+       CAST(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS acc,
        l_linestatus AS pred,
        CAST(l_linenumber * 10 AS INTEGER) AS prompt_len,
        CAST(l_quantity AS INTEGER) AS response_len,
