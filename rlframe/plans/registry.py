@@ -58,4 +58,5 @@ def load_all() -> None:
         q_transcript,
         q_losses,
         q_metrics,
+        q_batch,
     )
