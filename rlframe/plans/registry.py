@@ -59,4 +59,5 @@ def load_all() -> None:
         q_losses,
         q_metrics,
         q_batch,
+        q_prepare,
     )
