@@ -291,7 +291,7 @@ def best_from_log(lines: DataFrame, key: str = "critic/rewards/mean", col: str =
     ln = F.col(col)
     kv = F.split(ln, " - ")
     val = F.filter(F.transform(kv, lambda p: F.when(F.split(p, ":")[0] == key,
-                                                    F.try_cast(F.split(p, ":")[1], "double"))),
+                                                    F.split(p, ":")[1].try_cast("double"))),
                    lambda v: v.isNotNull())
     return lines.where(ln.startswith("step")).select(F.try_element_at(val, F.lit(1)).alias("_r")) \
         .agg(F.max("_r").alias("best"))

@@ -60,4 +60,5 @@ def load_all() -> None:
         q_metrics,
         q_batch,
         q_prepare,
+        q_math,
     )
