@@ -61,4 +61,5 @@ def load_all() -> None:
         q_batch,
         q_prepare,
         q_math,
+        q_stream,
     )
