@@ -62,4 +62,5 @@ def load_all() -> None:
         q_prepare,
         q_math,
         q_stream,
+        q_turns,
     )
