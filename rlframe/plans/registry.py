@@ -63,4 +63,6 @@ def load_all() -> None:
         q_math,
         q_stream,
         q_turns,
+        q_arrays,
+        q_io,
     )
