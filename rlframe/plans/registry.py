@@ -65,4 +65,5 @@ def load_all() -> None:
         q_turns,
         q_arrays,
         q_io,
+        q_process,
     )
