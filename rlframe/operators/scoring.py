@@ -23,6 +23,14 @@ from rlframe.functions import text as T
 IDF_ONE_SIDED = 1.0 + math.log(1.5)   # smooth idf for a term in 1 of 2 docs
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back
+    (cuts lineage; a lost executor re-reads instead of recomputing)."""
+    from rlframe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _token_counts(df: DataFrame, key: list[str], tokens_col) -> DataFrame:
     return (df.select(*key, F.explode(tokens_col).alias("tok"))
               .groupBy(*key, "tok").agg(F.count(F.lit(1)).alias("cnt")))
@@ -35,12 +43,13 @@ def pair_scores(preds: DataFrame, golds: DataFrame, pred_key: list[str], gold_ke
     f1_reward, jaccard and (optionally) tfidf cosine."""
     pk = list(dict.fromkeys(pred_key + on))
     gk = list(dict.fromkeys(gold_key + on))
-    P = preds.select(*pk, T.normalize_answer(pred).alias("np"), T.is_blank(pred).alias("pblank"),
-                     *( [F.col(pred).alias("_praw")] if with_tfidf else []))
-    G = golds.select(*gk, T.normalize_answer(gold).alias("ng"), T.is_blank(gold).alias("gblank"),
-                     *( [F.col(gold).alias("_graw")] if with_tfidf else []))
-    P = P.withColumn("ptoks", T.tokens("np"))
-    G = G.withColumn("gtoks", T.tokens("ng"))
+    P = preds.select(*pk, T.normalize_answer(pred).alias("np"), T.is_blank(pred).alias("pblank"))
+    G = golds.select(*gk, T.normalize_answer(gold).alias("ng"), T.is_blank(gold).alias("gblank"))
+    # normalisation is the expensive step and both tables feed several
+    # branches (strings for EM/SM, token counts for F1/Jaccard, words for
+    # TF-IDF): materialise each once in the shared checkpoint folder
+    P = materialize(P.withColumn("ptoks", T.tokens("np")))
+    G = materialize(G.withColumn("gtoks", T.tokens("ng")))
 
     pairs = P.select(*pk, "np", "pblank", F.size("ptoks").alias("n_p"),
                      F.size(F.array_distinct("ptoks")).alias("d_p")).join(
@@ -72,12 +81,28 @@ def pair_scores(preds: DataFrame, golds: DataFrame, pred_key: list[str], gold_ke
         "pblank", "gblank",
     )
     if with_tfidf:
-        out = out.join(_tfidf(P, G, pk, gk, on), both_key, "left")
+        out = out.join(_tfidf(preds.select(*pk, F.col(pred).alias("_praw")),
+                              golds.select(*gk, F.col(gold).alias("_graw")), pk, gk, on), both_key, "left")
         out = out.withColumn("tfidf", F.when(F.col("pblank") | F.col("gblank"), F.lit(1.0))
                              .otherwise(F.coalesce(F.col("tfidf"), F.lit(1.0))))
     return out.drop("pblank", "gblank")
 
 
+def tfidf_pair_scores(preds: DataFrame, golds: DataFrame, pred_key: list[str], gold_key: list[str],
+                      on: list[str], pred: str = "pred", gold: str = "gold") -> DataFrame:
+    """TF-IDF cosine only (no normalisation pass): blank side -> 1."""
+    pk = list(dict.fromkeys(pred_key + on))
+    gk = list(dict.fromkeys(gold_key + on))
+    both_key = list(dict.fromkeys(pk + gk))
+    t = _tfidf(preds.select(*pk, F.col(pred).alias("_praw")), golds.select(*gk, F.col(gold).alias("_graw")),
+               pk, gk, on)
+    blanks = preds.select(*pk, T.is_blank(pred).alias("pblank")).join(
+        golds.select(*gk, T.is_blank(gold).alias("gblank")), on)
+    out = blanks.join(t, both_key, "left")
+    return out.select(*both_key, F.when(F.col("pblank") | F.col("gblank"), F.lit(1.0))
+                      .otherwise(F.coalesce(F.col("tfidf"), F.lit(1.0))).alias("tfidf"))
+
+
 def _tfidf(P: DataFrame, G: DataFrame, pk, gk, on) -> DataFrame:
     """Cosine of smooth-idf TF-IDF vectors fitted on the pair only.
 

@@ -127,7 +127,8 @@ FROM pairs LEFT JOIN cs USING (data_id, gold_idx)
 
 @query("tfidf_pair_cosine", _TFIDF)
 def tfidf_pair_cosine(spark, sf_dir):
-    return _pair_out(_scores(spark, sf_dir, tfidf=True)[1], "tfidf")
+    preds, golds = AD.prediction_tables(spark, sf_dir)
+    return _pair_out(S.tfidf_pair_scores(preds, golds, ["data_id"], ["gold_idx"], ["dataset"]), "tfidf")
 
 
 _ROLL = _BASE + """
