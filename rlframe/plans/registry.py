@@ -66,4 +66,5 @@ def load_all() -> None:
         q_arrays,
         q_io,
         q_process,
+        q_tools,
     )
