@@ -85,25 +85,27 @@ def action_mask(model_lens: str | Column, tool_lens: str | Column, limit: int |
 
 def sft_sequence(prompt: str | Column, response: str | Column, eos: int, pad: int, max_len: int,
                  truncation: str = "right") -> Column:
-    """AR-9: prompt + response + EOS, right-padded to ``max_len``; loss mask
-    covers the response shifted by one (last prompt token on, last response
-    token off). Returns struct(input_ids, attention_mask, loss_mask)."""
+    """AR-9: prompt + response + EOS, padded (right) or truncated to
+    ``max_len``. The loss mask is the attention mask with the first
+    ``prompt_len - 1`` positions zeroed (when prompt_len > 1) and the last
+    response position zeroed. Returns struct(input_ids, attention_mask,
+    loss_mask)."""
     p, r = _c(prompt), _c(response)
-    r_eos = F.concat(r, F.array(F.lit(eos).cast("long")))
-    ids = F.concat(p, r_eos)
-    lp, lr = F.size(p), F.size(r_eos)
+    ids = F.concat(p, F.concat(r, F.array(F.lit(eos).cast("long"))))
     mask = F.transform(ids, lambda x: F.lit(1))
-    loss = let(F.struct(ids.alias("ids"), lp.alias("lp"), lr.alias("lr")), lambda s: F.transform(
-        s["ids"], lambda x, i: F.when((i >= s["lp"] - 1) & (i < s["lp"] + s["lr"] - 2), F.lit(1)).otherwise(F.lit(0))))
     if truncation == "error":
-        ids = F.when(F.size(ids) > max_len, F.raise_error(F.lit("sequence longer than max_length")).cast("array<bigint>")) \
-            .otherwise(ids)
-    t_ids = truncate_to(ids, max_len, "left" if truncation == "left" else "right")
-    t_mask = truncate_to(mask, max_len, "left" if truncation == "left" else "right")
-    t_loss = truncate_to(loss, max_len, "left" if truncation == "left" else "right")
-    return F.struct(pad_to(t_ids, max_len, pad).alias("input_ids"),
-                    pad_to(t_mask, max_len, 0).alias("attention_mask"),
-                    pad_to(t_loss, max_len, 0).alias("loss_mask"))
+        ids = F.when(F.size(ids) > max_len, F.raise_error(F.lit("sequence longer than max_length"))
+                     .cast("array<bigint>")).otherwise(ids)
+    side = "left" if truncation == "left" else "right"
+    t_ids = pad_to(truncate_to(ids, max_len, side), max_len, pad)
+    t_mask = pad_to(truncate_to(mask, max_len, side), max_len, 0)
+    lp = F.size(p)
+    total = F.size(p) + F.size(r) + 1
+    spec = F.struct(t_mask.alias("m"), lp.alias("lp"), total.alias("tot"))
+    loss = let(spec, lambda s: F.transform(s["m"], lambda x, i: F.when(
+        ((s["lp"] > 1) & (i < F.least(s["lp"], F.lit(max_len)) - 1))
+        | (i == F.least(s["tot"], F.lit(max_len)) - 1), F.lit(0)).otherwise(x)))
+    return F.struct(t_ids.alias("input_ids"), t_mask.alias("attention_mask"), loss.alias("loss_mask"))
 
 
 def pair_ids(chosen: str | Column, rejected: str | Column, pad: int, max_len: int) -> Column:

@@ -20,7 +20,8 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-NULL_S = F.lit(None).cast("string")
+def _null_s() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _let(value: Column, body) -> Column:
@@ -45,7 +46,7 @@ def numeric_answer(s: str | Column, method: str = "strict") -> Column:
                       F.regexp_replace(F.regexp_extract(s, NUM_STRICT_RE, 1), "[,$]", ""))
     cands = F.regexp_extract_all(s, F.lit(NUM_ANY_RE), 1)
     valid = F.filter(cands, lambda x: ~x.isin("", "."))
-    return (F.when(F.size(cands) == 0, NULL_S)
+    return (F.when(F.size(cands) == 0, _null_s())
              .when(F.size(valid) > 0, F.try_element_at(valid, F.lit(-1)))
              .otherwise(F.try_element_at(cands, F.lit(1))))
 
@@ -82,7 +83,7 @@ def last_boxed(s: str | Column) -> Column:
                 (acc["i"] + 1).alias("i"))))
     braced = F.when(st["e"] >= 0, rest.substr(F.lit(1), st["e"] + 1))
     return (F.when(F.instr(s, "\\boxed ") > 0, space_form)
-             .when(idx < 0, NULL_S)
+             .when(idx < 0, _null_s())
              .otherwise(braced))
 
 

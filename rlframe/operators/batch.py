@@ -133,9 +133,11 @@ def keyed_union(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     ok = checks[0]
     for c in checks[1:]:
         ok = ok & c
-    guarded = j.withColumn("_ok", F.when(ok, F.lit(True)).otherwise(
-        F.raise_error(F.lit("keyed_union: rows or shared columns differ"))))
-    return guarded.select(*key, *[c for c in a.columns if c not in key], *only_b, "_ok").drop("_ok")
+    # a filter predicate is always evaluated (a dropped check column would be
+    # pruned by the optimizer)
+    guard = F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("keyed_union: rows or shared columns differ"))
+                                               .cast("boolean"))
+    return j.where(guard).select(*key, *[c for c in a.columns if c not in key], *only_b)
 
 
 def fold(df: DataFrame, k: int, idx: str = "idx", cols: list[str] | None = None) -> DataFrame:

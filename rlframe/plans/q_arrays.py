@@ -65,7 +65,8 @@ def position_ids(spark, sf_dir):
         FROM f WHERE u IS NOT NULL AND a IS NOT NULL)
 , y AS (SELECT conv_id, list_concat(p, r) AS ids, len(p) AS lp, len(r) AS lr FROM x)
 SELECT conv_id, CAST(list_sum(ids[1:128]) AS BIGINT) AS ids_sum, CAST(least(len(ids), 128) AS BIGINT) AS attn_sum,
-       CAST(len(list_filter(range(0, least(len(ids), 128)), lambda i: i >= lp - 1 AND i < lp + lr - 2)) AS BIGINT) AS loss_sum
+       CAST(len(list_filter(range(0, least(len(ids), 128)),
+            lambda i: NOT ((lp > 1 AND i < least(lp, 128) - 1) OR i = least(lp + lr, 128) - 1))) AS BIGINT) AS loss_sum
 FROM y
 """)
 def sft_sequence(spark, sf_dir):
