@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rlframe.functions.transcript import assistant_blocks, extract_answer, py_strip
+from rlframe.functions.util import let
 
 
 def _c(x: str | Column) -> Column:
@@ -40,10 +41,16 @@ NUM_ANY_RE = r"(\-?[0-9\.\,]+)"
 def numeric_answer(s: str | Column, method: str = "strict") -> Column:
     """strict: first ``#### <num>`` without ',' and '$'; flexible: the last
     number that is not '' or '.', or the first candidate if all are invalid."""
-    s = _c(s)
     if method == "strict":
-        return F.when(s.rlike(NUM_STRICT_RE),
-                      F.regexp_replace(F.regexp_extract(s, NUM_STRICT_RE, 1), "[,$]", ""))
+        return let(_c(s), _numeric_strict)
+    return let(_c(s), _numeric_flexible)
+
+
+def _numeric_strict(s: Column) -> Column:
+    return F.when(s.rlike(NUM_STRICT_RE), F.regexp_replace(F.regexp_extract(s, NUM_STRICT_RE, 1), "[,$]", ""))
+
+
+def _numeric_flexible(s: Column) -> Column:
     cands = F.regexp_extract_all(s, F.lit(NUM_ANY_RE), 1)
     valid = F.filter(cands, lambda x: ~x.isin("", "."))
     return (F.when(F.size(cands) == 0, _null_s())
@@ -53,8 +60,9 @@ def numeric_answer(s: str | Column, method: str = "strict") -> Column:
 
 def numeric_score(s: str | Column, gt: str | Column, method: str = "strict", format_score: float = 0.0,
                   score: float = 1.0) -> Column:
-    a = numeric_answer(s, method)
-    return F.when(a.isNull(), F.lit(0.0)).when(a == _c(gt), F.lit(score)).otherwise(F.lit(format_score))
+    pair = F.struct(numeric_answer(s, method).alias("a"), _c(gt).alias("g"))
+    return let(pair, lambda p: F.when(p["a"].isNull(), F.lit(0.0)).when(p["a"] == p["g"], F.lit(score))
+               .otherwise(F.lit(format_score)))
 
 
 # ------------------------------------------------------------ boxed (MS-2)
@@ -67,7 +75,10 @@ def _rfind(s: Column, sub: str) -> Column:
 def last_boxed(s: str | Column) -> Column:
     """Last ``\\boxed{...}`` (or ``\\fbox{...}``) with balanced braces, or the
     ``\\boxed `` form up to the next '$'. NULL when none closes."""
-    s = _c(s)
+    return let(_c(s), _last_boxed)
+
+
+def _last_boxed(s: Column) -> Column:
     space_form = F.concat(F.lit("\\boxed "), F.substring_index(F.substring_index(s, "\\boxed ", -1), "$", 1))
     ib = _rfind(s, "\\boxed")
     idx = F.when(ib >= 0, ib).otherwise(_rfind(s, "\\fbox"))
@@ -89,7 +100,10 @@ def last_boxed(s: str | Column) -> Column:
 
 def remove_boxed(b: str | Column) -> Column:
     """Strip ``\\boxed `` / ``\\boxed{..}``; NULL where the reference asserts."""
-    b = _c(b)
+    return let(_c(b), _remove_boxed)
+
+
+def _remove_boxed(b: Column) -> Column:
     return (F.when(F.instr(b, "\\boxed ") > 0,
                    F.when(b.startswith("\\boxed "), b.substr(F.lit(8), F.lit(1 << 30))))
              .when(b.startswith("\\boxed{") & b.endswith("}"), b.substr(F.lit(8), F.length(b) - 8)))
@@ -191,8 +205,9 @@ def is_equiv(a: str | Column, b: str | Column) -> Column:
 
 def boxed_math_score(s: str | Column, gt: str | Column) -> Column:
     """1.0 when the last boxed answer is equivalent to the ground truth."""
-    ans = remove_boxed(last_boxed(s))
-    return F.when(ans.isNotNull() & is_equiv(ans, gt), F.lit(1.0)).otherwise(F.lit(0.0))
+    pair = F.struct(remove_boxed(last_boxed(s)).alias("a"), _c(gt).alias("g"))
+    return let(pair, lambda p: F.when(p["a"].isNotNull() & is_equiv(p["a"], p["g"]), F.lit(1.0))
+               .otherwise(F.lit(0.0)))
 
 
 # ------------------------------------------------ final-answer (MS-4, MS-5)
@@ -240,17 +255,18 @@ def minerva_pred(s: str | Column, clip: int = 300) -> Column:
 
 def final_answer_score(s: str | Column, gt: str | Column) -> Column:
     """MS-5: struct(score +-1, acc, pred) on the last 300 characters."""
-    pred = minerva_pred(s)
-    ok = pred == normalize_final_answer(gt)
-    return F.struct(F.when(ok, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("score"), ok.alias("acc"),
-                    pred.alias("pred"))
+    def body(p):
+        ok = p["pred"] == p["gold"]
+        return F.struct(F.when(ok, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("score"), ok.alias("acc"),
+                        p["pred"].alias("pred"))
+    return let(F.struct(minerva_pred(s).alias("pred"), normalize_final_answer(gt).alias("gold")), body)
 
 
 def strict_box_score(s: str | Column, gt: str | Column) -> Column:
     """MS-6: 1 if the boxed answer in the last 100 characters equals gt, else -1."""
     tail = F.substring(_c(s), -100, 100)
-    pred = remove_boxed(last_boxed(tail))
-    return F.when(pred == _c(gt), F.lit(1)).otherwise(F.lit(-1))
+    pair = F.struct(remove_boxed(last_boxed(tail)).alias("p"), _c(gt).alias("g"))
+    return let(pair, lambda q: F.when(q["p"] == q["g"], F.lit(1)).otherwise(F.lit(-1)))
 
 
 # ------------------------------------------------------ tolerant (MS-9)
@@ -283,8 +299,10 @@ GEO_FORMAT_RE = r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*$"
 def geo_score(s: str | Column, gt: str | Column) -> Column:
     """0.9 * accuracy + 0.1 * full-match format. Accuracy uses this module's
     boxed-answer equivalence (the reference's external grader is not built)."""
-    fmt = F.when(_c(s).rlike(GEO_FORMAT_RE), F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.lit(0.9) * boxed_math_score(s, gt) + F.lit(0.1) * fmt
+    def body(p):
+        fmt = F.when(p["s"].rlike(GEO_FORMAT_RE), F.lit(1.0)).otherwise(F.lit(0.0))
+        return F.lit(0.9) * boxed_math_score(p["s"], p["g"]) + F.lit(0.1) * fmt
+    return let(F.struct(_c(s).alias("s"), _c(gt).alias("g")), body)
 
 
 # ------------------------------------------ boxed answer in tags (SC-18)
@@ -298,12 +316,16 @@ def boxed_answer_format(t: str | Column) -> Column:
 
 def boxed_answer_score(t: str | Column, gt: str | Column) -> Column:
     """Answer tag -> boxed content -> equivalence; -1 if the format fails."""
-    last = F.try_element_at(assistant_blocks(t), F.lit(-1))
-    ans = extract_answer(last)
-    boxed = remove_boxed(last_boxed(ans))
-    acc = F.when(boxed.isNotNull() & is_equiv(boxed, gt), F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(_c(t).isNull() | _c(gt).isNull(), F.lit(0.0)) \
-        .when(boxed_answer_format(t) == 1.0, acc).otherwise(F.lit(-1.0))
+    def body(p):
+        last = p["last"]
+        boxed = remove_boxed(last_boxed(extract_answer(last)))
+        acc = let(F.struct(boxed.alias("b"), p["g"].alias("g")), lambda q: F.when(
+            q["b"].isNotNull() & is_equiv(q["b"], q["g"]), F.lit(1.0)).otherwise(F.lit(0.0)))
+        fmt_ok = F.coalesce(last.rlike(BOXED_ANSWER_RE), F.lit(False))
+        return F.when(p["t"].isNull() | p["g"].isNull(), F.lit(0.0)).when(fmt_ok, acc).otherwise(F.lit(-1.0))
+    spec = F.struct(_c(t).alias("t"), _c(gt).alias("g"),
+                    F.try_element_at(assistant_blocks(t), F.lit(-1)).alias("last"))
+    return let(spec, body)
 
 
 # ----------------------------------------------------- overlong (SC-21)

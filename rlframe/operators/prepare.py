@@ -225,9 +225,11 @@ def hash_split(df: DataFrame, key: list[str], seed: int, train_pct: int = 80) ->
     return df.withColumn("split", F.when(h < train_pct, F.lit("train")).otherwise(F.lit("test")))
 
 
-def seeded_order(df: DataFrame, key: list[str], seed: int, epoch: int = 0) -> DataFrame:
-    """PR-18: epoch order by hash (a seeded shuffle that survives retries)."""
-    return df.orderBy(F.xxhash64(*[F.col(k) for k in key], F.lit(seed), F.lit(epoch)), *key)
+def seeded_order(df: DataFrame, key: list[str], seed: int, epoch: int = 0, out: str = "order") -> DataFrame:
+    """PR-18: epoch order by hash -- a seeded shuffle that survives retries
+    and does not depend on partitioning. Adds the dense position ``out``."""
+    h = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed)), F.lit(str(epoch))))
+    return with_global_index(df.withColumn("_h", h), [F.col("_h")] + [F.col(k) for k in key], out).drop("_h")
 
 
 def conversation_table(msgs: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -236,3 +238,23 @@ def conversation_table(msgs: DataFrame, conv: str = "conv_id", turn: str = "turn
         F.col(turn).alias("turn"), F.col("role"), F.col("content")))).alias("_m")) \
         .withColumn("messages", F.transform("_m", lambda m: F.struct(m["role"].alias("role"),
                                                                     m["content"].alias("content")))).drop("_m")
+
+
+def boxed_rows(df: DataFrame, problem: str, solution: str, data_source: str, instruction: str,
+               split: str, index: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """PR-5: math problems; the gold is the last boxed answer of the
+    reference solution (NULL when it has none)."""
+    from rlframe.functions.mathans import last_boxed, remove_boxed
+    return df.select(
+        *keep, F.lit(data_source).alias("data_source"),
+        user_prompt(F.concat(_c(problem), F.lit(" " + instruction))).alias("prompt"),
+        F.lit("math").alias("ability"),
+        F.struct(F.lit("rule").alias("style"), remove_boxed(last_boxed(solution)).alias("ground_truth"))
+        .alias("reward_model"),
+        F.struct(F.lit(split).alias("split"), F.col(index).cast("long").alias("index")).alias("extra_info"))
+
+
+def image_rows(df: DataFrame, images: str, prompt_rows: DataFrame | None = None) -> DataFrame:
+    """PR-6: multimodal rows keep their image list as a column (binary
+    array) next to the canonical fields; nothing is decoded here."""
+    return df.withColumn("images", F.col(images))

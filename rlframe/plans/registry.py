@@ -67,4 +67,5 @@ def load_all() -> None:
         q_io,
         q_process,
         q_tools,
+        q_extra,
     )
