@@ -70,7 +70,11 @@ def read_results(spark: SparkSession, root: str, files: str = "*/res.json",
     rel = F.substring_index(F.col("_metadata.file_path"), root.rstrip("/") + "/", -1)
     top = F.substring_index(rel, "/", 1)
     d = d.withColumn("dataset", F.regexp_replace(top, "^[^=]*=", ""))
-    return d.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    # Spark refuses a scan whose only referenced column is the corrupt-record
+    # column (e.g. under count()); the always-true second term keeps a data
+    # column referenced
+    keep = F.col("_corrupt_record").isNull() & (F.length(F.concat(F.col("dataset"), F.lit("x"))) > 0)
+    return d.where(keep).drop("_corrupt_record")
 
 
 SUMMARY_COLUMNS = ["LLM", "dataset", "count", "exact_match_mean", "exact_match_sum", "substring_match_mean",
