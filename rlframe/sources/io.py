@@ -73,7 +73,9 @@ def read_results(spark: SparkSession, root: str, files: str = "*/res.json",
     # Spark refuses a scan whose only referenced column is the corrupt-record
     # column (e.g. under count()); the always-true second term keeps a data
     # column referenced
-    keep = F.col("_corrupt_record").isNull() & (F.length(F.concat(F.col("dataset"), F.lit("x"))) > 0)
+    first = schema.fields[0].name
+    keep = F.col("_corrupt_record").isNull() & (
+        F.length(F.concat(F.coalesce(F.col(first).cast("string"), F.lit("")), F.lit("x"))) > 0)
     return d.where(keep).drop("_corrupt_record")
 
 
