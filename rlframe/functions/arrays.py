@@ -129,3 +129,19 @@ def cut_after_first_block(text: str | Column, end_tag: str) -> Column:
     """AR-14 (text form): cut right after the first complete block; else unchanged."""
     t = _c(text)
     return F.when(F.instr(t, end_tag) > 0, F.concat(F.substring_index(t, end_tag, 1), F.lit(end_tag))).otherwise(t)
+
+
+def message_masks(roles: str | Column, prefix_lens: str | Column, body_lens: str | Column,
+                  suffix_lens: str | Column, max_len: int) -> Column:
+    """AR-13: build the loss mask of a running multi-turn sequence: each
+    message contributes its role prefix (mask 0), body and end marker (mask 1
+    for assistant messages, 0 otherwise); the sequence is clipped to
+    ``max_len``. Position ids are contiguous (the reference restarts them at
+    message joins)."""
+    z = F.arrays_zip(_c(roles).alias("r"), _c(prefix_lens).alias("p"), _c(body_lens).alias("b"),
+                     _c(suffix_lens).alias("s"))
+    segs = F.transform(z, lambda m: F.concat(
+        F.array_repeat(F.lit(0), m["p"].cast("int")),
+        F.array_repeat(F.when(m["r"] == "assistant", F.lit(1)).otherwise(F.lit(0)),
+                       (m["b"] + m["s"]).cast("int"))))
+    return F.slice(F.flatten(segs), 1, max_len)

@@ -346,3 +346,129 @@ def prefix_reward(pred: str | Column, gold: str | Column) -> Column:
                                               F.struct((acc["k"] + 1).alias("k"), F.lit(True).alias("on")))
                         .otherwise(F.struct(acc["k"].alias("k"), F.lit(False).alias("on"))))
     return match["k"] / (F.length(g) + 1).cast("double")
+
+
+# ---------------------------------------------- competition grading (MS-7/8/10)
+# Fixed values that must match the reference normaliser: unit words removed
+# (with optional plural and power), and tuple delimiters.
+UNIT_WORDS = ["degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week",
+              "month", "year", "foot", "feet", "inch", "yard", "liter"]
+TUPLE_CHARS = "()[]"
+FORMATTED_COMMA_RE = r"(\d),(?=\d\d\d(?:$|\D))"
+
+
+def strip_number_commas(x: str | Column) -> Column:
+    """Remove thousands separators ('1,234' -> '1234'), keeping tuple commas."""
+    return F.regexp_replace(_c(x), FORMATTED_COMMA_RE, "$1")
+
+
+def _int_string(x: Column) -> Column:
+    """If ``x`` parses as a number within 1e-7 of an integer, that integer
+    (truncated, as int(float(x)) does) as a string; else NULL."""
+    v = strip_number_commas(x).try_cast("double")
+    return F.when(F.abs(v - F.round(v)) <= 1e-7, v.cast("long").cast("string"))
+
+
+def algebra_normalize(s: str | Column) -> Column:
+    """MS-7: competition-answer normalisation (the LaTeX-to-text parsing step
+    of the reference needs an external parser and is not applied)."""
+    def body(x):
+        x = F.when(x.rlike(r"^\\text\{(.+?)\}$"), F.regexp_extract(x, r"^\\text\{(.+?)\}$", 1)).otherwise(x)
+        for a, b in (("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "),
+                     ("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")):
+            x = F.replace(x, F.lit(a), F.lit(b))
+        for unit in UNIT_WORDS:
+            x = F.regexp_replace(x, unit + r"(es)?(s)? *(\^[0-9]+)?", "")
+        x = F.regexp_replace(x, r"\^ *\\circ", "")
+        x = let(x, lambda v: F.when((F.length(v) > 0) & v.startswith("{") & v.endswith("}"),
+                                    v.substr(F.lit(2), F.length(v) - 2)).otherwise(v))
+        x = F.regexp_replace(x, r",\\! *", "")
+        x = let(x, lambda v: let(v.try_cast("double"), lambda d: F.when(
+            d.isNotNull() & (F.abs(d - F.round(d)) <= 1e-7), F.round(d).cast("long").cast("string")).otherwise(v)))
+        x = F.regexp_replace(x, r"- *", "-")
+        x = F.regexp_replace(x, r"([0-9]) +([0-9])", "$1+$2")
+        x = F.lower(x)
+        return let(x, lambda v: F.coalesce(_int_string(v), v))
+    return let(_c(s), body)
+
+
+def split_tuple(x: str | Column) -> Column:
+    """Elements of a tuple/interval ``(a, b)`` / ``[a, b]``; else [x]."""
+    def body(v):
+        inner = v.substr(F.lit(2), F.length(v) - 2)
+        is_tuple = ((F.length(v) > 2) & F.substring(v, 1, 1).isin(*TUPLE_CHARS)
+                    & F.substring(v, -1, 1).isin(*TUPLE_CHARS) & ~inner.rlike(r"[\(\)\[\]]"))
+        return (F.when(F.length(v) == 0, F.array().cast("array<string>"))
+                 .when(is_tuple, F.transform(F.split(inner, ",", -1), lambda e: F.trim(e)))
+                 .otherwise(F.array(v)))
+    return let(strip_number_commas(x), body)
+
+
+FRAC_RE = r"^-?[0-9]+.?/0*[1-9][0-9]*.?$"
+
+
+def tuple_grade(given: str | Column, gt: str | Column) -> Column:
+    """MS-8 (without the symbolic step): equal after the MATH normaliser or
+    after :func:`algebra_normalize`; otherwise element-wise over tuples, where
+    two fractions must match literally, an integer never matches a
+    non-integer, and the remaining pairs (which the reference hands to a
+    symbolic solver) count as equal only when their normalised text is."""
+    def body(p):
+        g, t = p["g"], p["t"]
+        gn, tn = p["gn"], p["tn"]
+        ge, te = split_tuple(gn), split_tuple(tn)
+        ends_ok = (F.size(te) <= 1) | ((F.substring(tn, 1, 1) == F.substring(gn, 1, 1))
+                                       & (F.substring(tn, -1, 1) == F.substring(gn, -1, 1)))
+        pairs = F.arrays_zip(te.alias("t"), ge.alias("g"))
+        elem_ok = F.forall(pairs, lambda e: F.when(e["t"].rlike(FRAC_RE) & e["g"].rlike(FRAC_RE), e["t"] == e["g"])
+                           .when(_int_string(e["t"]).isNull() != _int_string(e["g"]).isNull(), F.lit(False))
+                           .otherwise(e["t"] == e["g"]))
+        tuple_ok = ends_ok & (F.size(te) == F.size(ge)) & elem_ok
+        mathd = is_equiv(g, t)
+        return (F.when(g.isNull(), F.lit(False)).when(mathd, F.lit(True)).when(tn.isNull(), F.lit(False))
+                 .when(tn == gn, F.lit(True)).when(F.length(gn) == 0, F.lit(False)).otherwise(tuple_ok))
+    spec = F.struct(_c(given).alias("g"), _c(gt).alias("t"), algebra_normalize(given).alias("gn"),
+                    algebra_normalize(gt).alias("tn"))
+    return let(spec, body)
+
+
+def match_answer(response: str | Column) -> Column:
+    """MS-10: locate the answer span in free text by the last answer marker,
+    a boxed answer, the last sentence, and the last 'is/=/:' style marker.
+    struct(matched, answer); matched requires a digit in the span."""
+    def cut_after(v, marker):
+        low = F.lower(v)
+        i = _rfind(low, marker)
+        rest = py_strip(v.substr(i + len(marker) + 1, F.lit(1 << 30)))
+        rest = F.when(rest.endswith("\n"), rest.substr(F.lit(1), F.length(rest) - 2)).otherwise(rest)
+        return F.struct(F.when(i >= 0, rest).otherwise(v).alias("r"), (i >= 0).alias("m"))
+
+    def cut_before(v, marker):
+        low = F.lower(v)
+        i = _rfind(low, marker)
+        rest = py_strip(v.substr(F.lit(1), i))
+        rest = F.when(rest.endswith("\n"), rest.substr(F.lit(1), F.length(rest) - 2)).otherwise(rest)
+        return F.struct(F.when(i >= 0, rest).otherwise(v).alias("r"), (i >= 0).alias("m"))
+
+    st = F.struct(_c(response).alias("r"), F.lit(False).alias("m"))
+
+    def step(fn, marker):
+        return lambda s: let(fn(s["r"], marker), lambda o: F.struct(o["r"].alias("r"), (s["m"] | o["m"]).alias("m")))
+
+    for mk in ("answer:", "answer is", "answers are"):
+        st = let(st, step(cut_after, mk))
+    for mk in ("is answer", "is the answer", "are answers", "are the answers"):
+        st = let(st, step(cut_before, mk))
+    st = let(st, lambda s: let(_last_boxed_strict(s["r"]), lambda b: F.struct(
+        F.coalesce(b, s["r"]).alias("r"), (s["m"] | b.isNotNull()).alias("m"))))
+    st = let(st, lambda s: let(_rfind(F.lower(s["r"]), ". "), lambda i: F.struct(
+        F.when(i >= 0, py_strip(s["r"].substr(F.lit(1), i))).otherwise(s["r"]).alias("r"), s["m"].alias("m"))))
+    for mk in ("be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n", "get\n"):
+        st = let(st, step(cut_after, mk))
+    return let(st, lambda s: F.struct((s["m"] & s["r"].rlike(r"\p{Nd}")).alias("matched"), s["r"].alias("answer")))
+
+
+def _last_boxed_strict(s: Column) -> Column:
+    """Content of the last \\boxed{...} (brace matched, stripped), NULL if none."""
+    return let(last_boxed(s), lambda b: F.when(b.startswith("\\boxed{"),
+                                               py_strip(b.substr(F.lit(8), F.length(b) - 8))))

@@ -120,3 +120,12 @@ WORD2_RE = r"(?U)\b\w\w+\b"
 def tfidf_words(s: str | Column) -> Column:
     """Default TF-IDF vectoriser tokens: lower-case words of 2+ chars."""
     return F.regexp_extract_all(F.lower(_c(s)), F.lit(WORD2_RE), 0)
+
+
+def cosine(a: str | Column, b: str | Column) -> Column:
+    """SC-9: cosine of two numeric vectors (e.g. precomputed embeddings)."""
+    x, y = _c(a), _c(b)
+    dot = F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+    nx = F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v))
+    ny = F.sqrt(F.aggregate(y, F.lit(0.0), lambda acc, v: acc + v * v))
+    return dot / (nx * ny)

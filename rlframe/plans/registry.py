@@ -68,4 +68,5 @@ def load_all() -> None:
         q_process,
         q_tools,
         q_extra,
+        q_more,
     )
