@@ -38,8 +38,10 @@ def discounted_return(tokens: DataFrame, seq: list[str], gamma: float, pos: str
         # then G_t = r_t + gamma * H_{t+1}.
         d = tokens.withColumn("_a", (F.lit(float(gamma)) * m).cast("double")) \
                   .withColumn("_bb", (m * F.col(reward)).cast("double"))
+        if max_pos is None:
+            max_pos = tokens.agg(F.max(pos)).first()[0] or 0
         d = reverse_linear_scan(d, seq, pos, "_a", "_bb", "_h", chunk=chunk, max_pos=max_pos)
-        d = lead_next(d, seq, pos, "_h", "_hn", chunk=chunk)
+        d = lead_next(d, seq, pos, "_h", "_hn", chunk=chunk, max_pos=max_pos)
         return d.withColumn(out, F.col(reward) + F.lit(float(gamma)) * F.coalesce(F.col("_hn"), F.lit(0.0))) \
                 .drop("_a", "_bb", "_h", "_hn")
     raise ValueError(variant)
@@ -83,7 +85,7 @@ def gae(tokens: DataFrame, seq: list[str], gamma: float, lam: float, variant: st
         d = tokens.withColumn("_ya", F.when(m == 1, F.lit(0.0)).otherwise(F.lit(1.0))) \
                   .withColumn("_yb", F.when(m == 1, F.col(value)).otherwise(F.lit(0.0)))
         d = reverse_linear_scan(d, seq, pos, "_ya", "_yb", "_y", chunk=chunk, max_pos=max_pos)
-        d = lead_next(d, seq, pos, "_y", "_vn", chunk=chunk)
+        d = lead_next(d, seq, pos, "_y", "_vn", chunk=chunk, max_pos=max_pos)
         delta = F.col(reward) + F.lit(g) * F.coalesce(F.col("_vn"), F.lit(0.0)) - F.col(value)
         d = d.withColumn("_aa", F.when(m == 1, F.lit(gl)).otherwise(F.lit(1.0))) \
              .withColumn("_ab", F.when(m == 1, delta).otherwise(F.lit(0.0)))
@@ -91,7 +93,7 @@ def gae(tokens: DataFrame, seq: list[str], gamma: float, lam: float, variant: st
         d = d.withColumn("_A", F.when(m == 1, F.col("_A")).otherwise(F.lit(0.0)))
         d = d.drop("_ya", "_yb", "_y", "_vn", "_aa", "_ab")
     elif variant == "framework":
-        d = lead_next(tokens, seq, pos, value, "_vn", chunk=chunk)
+        d = lead_next(tokens, seq, pos, value, "_vn", chunk=chunk, max_pos=max_pos)
         delta = F.col(reward) + F.lit(g) * F.coalesce(F.col("_vn"), F.lit(0.0)) - F.col(value)
         d = d.withColumn("_aa", F.lit(gl)).withColumn("_ab", delta)
         d = reverse_linear_scan(d, seq, pos, "_aa", "_ab", "_A", chunk=chunk, max_pos=max_pos)

@@ -100,14 +100,18 @@ def _solve(df: DataFrame, keys: list[str], pos: str, chunk: int, max_pos: int) -
 
 
 def lead_next(df: DataFrame, keys: list[str], pos: str, col: str, out: str,
-              chunk: int = 4096) -> DataFrame:
+              chunk: int = 4096, max_pos: int | None = None) -> DataFrame:
     """Value of ``col`` at the next row (by ``pos``) of the same key, NULL at
     the end. Positions are assumed contiguous across chunk borders (the
-    first row of chunk c+1 follows the last row of chunk c)."""
+    first row of chunk c+1 follows the last row of chunk c). When every
+    position fits in one chunk (``max_pos < chunk``) the cross-chunk lookup
+    is skipped."""
     c = F.floor(F.col(pos) / F.lit(chunk)).cast("long")
     d = df.withColumn("_c", c)
     pk = keys + ["_c"]
     w = Window.partitionBy(*pk).orderBy(pos)
+    if max_pos is not None and max_pos < chunk:
+        return d.withColumn(out, F.lead(col).over(w)).drop("_c")
     d = d.withColumn("_ld", F.lead(col).over(w)).withColumn("_rl", F.row_number().over(w.orderBy(F.col(pos).desc())))
     firsts = d.groupBy(*pk).agg(F.min_by(F.col(col), F.col(pos)).alias("_fv"))
     nxt = firsts.select(*keys, (F.col("_c") - 1).alias("_c"), "_fv")
