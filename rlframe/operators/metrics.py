@@ -6,6 +6,7 @@ filtered, joined and written like any other table.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -278,10 +279,22 @@ def softmean_centered(df: DataFrame, group: list[str], x: str, beta: float, out:
     return out_df if group else out_df.drop("_k")
 
 
+def _fmt3():
+    @F.pandas_udf("string")
+    def fmt3(v: pd.Series) -> pd.Series:
+        # Python's formatting rounds the binary value (Java's %.3f rounds the
+        # shortest decimal string, which differs on ties like 1.5385)
+        return v.map(lambda x: None if x is None or x != x else f"{x:.3f}")
+    return fmt3
+
+
 def metrics_line(long: DataFrame, step: str = "step") -> DataFrame:
-    """AG-18: ``step:N - name:value(3dp) - ...`` per step, names in order."""
-    d = long.groupBy(step).agg(F.array_sort(F.collect_list(F.struct("ord", "metric", "value"))).alias("_m"))
-    parts = F.transform("_m", lambda m: F.format_string("%s:%.3f", m["metric"], m["value"]))
+    """AG-18: ``step:N - name:value(3dp) - ...`` per step, names in order.
+    A metric log has one row per training step, so formatting each number
+    in a small Arrow UDF is cheap."""
+    d = long.withColumn("_v3", _fmt3()(F.col("value").cast("double")))
+    d = d.groupBy(step).agg(F.array_sort(F.collect_list(F.struct("ord", "metric", "_v3"))).alias("_m"))
+    parts = F.transform("_m", lambda m: F.concat(m["metric"], F.lit(":"), m["_v3"]))
     return d.select(step, F.concat(F.lit("step:"), F.col(step).cast("string"), F.lit(" - "),
                                    F.array_join(parts, " - ")).alias("line"))
 

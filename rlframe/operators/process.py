@@ -37,8 +37,8 @@ def process_rloo(tokens: DataFrame, seq: list[str], group: str, pos: str, mask:
 
     For a source, each sequence's mean over its reward positions is taken;
     the baseline is the group's sum of those means / (n - 1) and every
-    reward position becomes r * n/(n-1) - baseline. The ground-truth source
-    places ``acc`` on the last valid token only."""
+    reward position becomes r * n/(n-1) - baseline (a group of one keeps r).
+    The ground-truth source places ``acc`` on the last valid token only."""
     d = tokens
     parts = []
     if rm_score is not None:
@@ -57,7 +57,9 @@ def process_rloo(tokens: DataFrame, seq: list[str], group: str, pos: str, mask:
         grp = seq_mean.groupBy(group).agg(F.sum("_sm").alias("_gs"), F.count(F.lit(1)).alias("_gn"))
         d = d.join(grp, group, "left")
         n = F.col("_gn").cast("double")
-        rl = F.when(F.col(m), F.col(r) * n / (n - 1) - F.col("_gs") / (n - 1)).otherwise(F.lit(0.0))
+        # a singleton group keeps its reward (the reference divides by n - 1 = 0)
+        rl = F.when(F.col(m) & (F.col("_gn") > 1), F.col(r) * n / (n - 1) - F.col("_gs") / (n - 1)) \
+            .when(F.col(m), F.col(r)).otherwise(F.lit(0.0))
         d = d.withColumn(f"{r}_l", rl).drop("_gs", "_gn")
         total = total + F.lit(coef) * F.col(f"{r}_l")
     d = d.withColumn("_final", total * F.col(mask))

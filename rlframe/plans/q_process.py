@@ -26,8 +26,10 @@ def _tk(spark, sf_dir):
 , gt AS (SELECT t.uid, t.grp, t.acc FROM t JOIN lastv ON t.uid = lastv.uid AND t.pos = lastv.lv)
 , gg AS (SELECT grp, sum(acc) AS s, count(*) AS n FROM gt GROUP BY grp)
 , f AS (SELECT t.uid, t.pos, t.mask,
-               (CASE WHEN t.mask = 1 THEN t.rm * gs.n / (gs.n - 1) - gs.s / (gs.n - 1) ELSE 0.0 END
-                + 5.0 * CASE WHEN t.pos = lastv.lv THEN t.acc * gg.n / (gg.n - 1) - gg.s / (gg.n - 1) ELSE 0.0 END) * t.mask AS fin
+               (CASE WHEN t.mask = 1 AND gs.n > 1 THEN t.rm * gs.n / (gs.n - 1) - gs.s / (gs.n - 1)
+                     WHEN t.mask = 1 THEN t.rm ELSE 0.0 END
+                + 5.0 * CASE WHEN t.pos = lastv.lv AND gg.n > 1 THEN t.acc * gg.n / (gg.n - 1) - gg.s / (gg.n - 1)
+                             WHEN t.pos = lastv.lv THEN t.acc ELSE 0.0 END) * t.mask AS fin
         FROM t JOIN gs USING (grp) JOIN gg USING (grp) LEFT JOIN lastv ON lastv.uid = t.uid)
 , r AS (SELECT uid, pos, mask, sum(fin) OVER (PARTITION BY uid ORDER BY pos DESC ROWS UNBOUNDED PRECEDING) AS ret FROM f)
 , st AS (SELECT sum(ret * mask) / (sum(mask) + 1e-8) AS mu, sum(mask) AS ms FROM r)
