@@ -254,7 +254,7 @@ def boxed_rows(df: DataFrame, problem: str, solution: str, data_source: str, ins
         F.struct(F.lit(split).alias("split"), F.col(index).cast("long").alias("index")).alias("extra_info"))
 
 
-def image_rows(df: DataFrame, images: str, prompt_rows: DataFrame | None = None) -> DataFrame:
+def image_rows(df: DataFrame, images: str) -> DataFrame:
     """PR-6: multimodal rows keep their image list as a column (binary
     array) next to the canonical fields; nothing is decoded here."""
     return df.withColumn("images", F.col(images))

@@ -137,9 +137,8 @@ def _sol(spark, sf_dir):
 
 
 @query("retool_score", """
-WITH s AS (SELECT o_orderkey, o_orderkey % 3 AS k FROM orders)
-SELECT o_orderkey, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN -1.0 ELSE -1.0 END AS score FROM s
-""".replace("CASE k WHEN 0 THEN 1.0 WHEN 1 THEN -1.0 ELSE -1.0 END", "CAST(CASE k WHEN 0 THEN 1.0 ELSE -1.0 END AS DOUBLE)"))
+SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 0 THEN 1.0 ELSE -1.0 END AS DOUBLE) AS score FROM orders
+""")
 def retool_score(spark, sf_dir):
     d = _sol(spark, sf_dir)
     block = (F.when(F.col("k") == 0, F.concat(F.lit("<answer>so \\boxed{"), F.col("gt"), F.lit("}</answer>")))
