@@ -210,3 +210,14 @@ def batched_scorer(fn, return_type: DataType = DoubleType()):
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
+
+
+def resubmit_rewards(df: DataFrame, sample: str, turn: str, score: str, out: str = "tool_reward",
+                     penalty: float = -0.05) -> DataFrame:
+    """SC-28: 0 when a turn's score beats the previous turn's (the first turn
+    compares with 0), else ``penalty`` -- compared with the last score, not
+    the best, so right -> wrong -> right earns 0, penalty, 0. A sample's
+    turns are bounded by the turn limit."""
+    w = Window.partitionBy(sample).orderBy(turn)
+    prev = F.lag(score, 1, 0.0).over(w)
+    return df.withColumn(out, F.when(F.col(score) > prev, F.lit(0.0)).otherwise(F.lit(penalty)))

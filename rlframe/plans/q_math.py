@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rlframe.functions import mathans as M
@@ -225,7 +224,6 @@ SELECT conv_id, turn, CAST(CASE WHEN score > coalesce(lag(score) OVER (PARTITION
 """)
 def resubmit_reward(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
+    from rlframe.operators.process import resubmit_rewards
     s = c.select("conv_id", "turn", F.when(F.pmod(F.length("text"), F.lit(3)) == 0, 1.0).otherwise(0.0).alias("score"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    prev = F.lag("score", 1, 0.0).over(w)
-    return s.select("conv_id", "turn", F.when(F.col("score") > prev, F.lit(0.0)).otherwise(F.lit(-0.05)).alias("tool_reward"))
+    return resubmit_rewards(s, "conv_id", "turn", "score").select("conv_id", "turn", "tool_reward")

@@ -107,3 +107,16 @@ def test_gae_chunked_equals_single_chunk(spark):
         assert a.keys() == b.keys()
         for k in a:
             assert a[k][0] == pytest.approx(b[k][0], abs=1e-9) and a[k][1] == pytest.approx(b[k][1], abs=1e-9)
+
+
+def test_mixed_number_normalisation(spark):
+    df = spark.createDataFrame([("7 3/4",), ("\\text{5 meters}",), ("1,234",)], "s string")
+    got = [r[0] for r in df.select(M.algebra_normalize("s")).collect()]
+    assert got == ["7+3/4", "5", "1234"]
+
+
+def test_resubmission_reward(spark):
+    from rlframe.operators.process import resubmit_rewards
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 1, 0.0), (1, 2, 1.0)], "s long, t long, score double")
+    out = [r.tool_reward for r in resubmit_rewards(df, "s", "t", "score").orderBy("t").collect()]
+    assert out == [0.0, -0.05, 0.0]
