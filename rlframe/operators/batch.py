@@ -263,3 +263,15 @@ def minibatches(df: DataFrame, batch: int, epochs: int, seed: int, key: str,
     if drop_last:
         d = d.where(F.col("batch_id") < n // batch)
     return d.drop("_h", "_g", "_e")
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str = "rank") -> DataFrame:
+    """0-based position of each row inside its key, by ``order``.
+
+    Unlike ``row_number() over (partition by key)``, no key has to fit in
+    one task: rows get a global index from a range-partitioned sort (a hot
+    key spans several partitions), and a key's first index (a partial
+    ``min`` aggregate, one row per key) is subtracted."""
+    d = with_global_index(df, [F.col(c) for c in keys + order], "_gi")
+    first = d.groupBy(*keys).agg(F.min("_gi").alias("_g0"))
+    return d.join(first, keys).withColumn(out, (F.col("_gi") - F.col("_g0")).cast("int")).drop("_gi", "_g0")

@@ -4,10 +4,11 @@ Each adapter exists twice: as a DataFrame builder (used by our queries)
 and as a SQL view body (used by the DuckDB oracle). Both must define the
 same rows; tests compare them.
 
-Adapter keys are bounded per group by construction (an order has at most
-a few lines, a conversation a few turns), so the per-key ``row_number``
-that numbers samples stays small. Real rollout/token tables already carry
-``sample_idx``/``pos`` and skip that window.
+Samples and tokens are numbered inside their key with
+:func:`rlframe.operators.batch.rank_within` (a global range sort plus per-key
+offsets), so even a key holding a large share of the table is never
+numbered by a single task. Real rollout/token tables already carry
+``sample_idx``/``pos``.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from rlframe.sources.tables import table
 # ---------------------------------------------------------------- rollouts
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rollout_row from lineitem: one row per sampled response."""
-    li = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    from rlframe.operators.batch import rank_within
+    li = rank_within(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"],
+                     "_sidx")
     return li.select(
         F.col("l_returnflag").alias("data_source"),
         F.col("l_orderkey").alias("uid"),
-        (F.row_number().over(w) - 1).cast("int").alias("sample_idx"),
+        F.col("_sidx").alias("sample_idx"),
         F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("prompt"),
         F.col("l_discount").alias("score"),
         F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.0).alias("acc"),
@@ -56,12 +58,12 @@ FROM lineitem
 # ------------------------------------------------------------------ tokens
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token_row from events: one sequence per user, one token per event."""
-    ev = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    from rlframe.operators.batch import rank_within
+    ev = rank_within(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "_pos")
     return ev.select(
         F.col("user_id").alias("uid"),
         F.pmod(F.col("user_id"), F.lit(16)).alias("grp"),
-        (F.row_number().over(w) - 1).cast("int").alias("pos"),
+        F.col("_pos").alias("pos"),
         (F.col("value") / 100.0).alias("reward"),
         ((F.pmod(F.col("event_id"), F.lit(53)) + 1) / 100.0).alias("value"),
         (-((F.pmod(F.col("event_id"), F.lit(97)) + 1) / 100.0)).alias("old_logp"),
