@@ -123,7 +123,8 @@ def majority_vote(df: DataFrame, group: list[str], vote: str, val: str, order: s
 
 
 def validation_metrics_bootstrap(df: DataFrame, source: str, prompt: str, vars_: list[str],
-                                 pred: str | None = "pred", seed: int = 42, n_bootstrap: int = 1000) -> DataFrame:
+                                 pred: str | None = "pred", seed: int = 42, n_bootstrap: int = 1000,
+                                 order: str | None = None) -> DataFrame:
     """AG-9..11 with the reference's seeded bootstrap (bit-parity mode).
 
     Each (source, prompt) group runs in ``applyInPandas``: numpy reseeds
@@ -176,7 +177,7 @@ def validation_metrics_bootstrap(df: DataFrame, source: str, prompt: str, vars_:
             rows += [(src, pr, var, k, v) for k, v in out.items()]
         return rows
 
-    cols = [source, prompt] + vars_ + ([pred] if pred else [])
+    cols = [source, prompt] + vars_ + ([pred] if pred else []) + ([order] if order else [])
     schema = f"{source} string, {prompt} string, var string, metric string, value double"
     keys = [source, prompt]
 
@@ -203,7 +204,9 @@ def validation_metrics_bootstrap(df: DataFrame, source: str, prompt: str, vars_:
         if carry is not None and len(carry):
             yield pd.DataFrame(run(carry), columns=[source, prompt, "var", "metric", "value"])
 
-    return (df.select(*cols).repartition(*keys).sortWithinPartitions(*keys)
+    # draws pick samples by position, so each group must arrive in sample
+    # order (``order``), as the reference's per-prompt lists do
+    return (df.select(*cols).repartition(*keys).sortWithinPartitions(*keys, *([order] if order else []))
               .mapInPandas(per_partition, schema))
 
 

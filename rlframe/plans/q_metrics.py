@@ -84,7 +84,8 @@ def majority_vote(spark, sf_dir):
 def validation_metrics_bootstrap(spark, sf_dir):
     """Seeded-bootstrap parity mode (no SQL oracle: numpy's random stream)."""
     r = AD.rollouts(spark, sf_dir)
-    per = M.validation_metrics_bootstrap(r, "data_source", "prompt", ["score", "acc"], pred="pred")
+    per = M.validation_metrics_bootstrap(r, "data_source", "prompt", ["score", "acc"], pred="pred",
+                                         order="sample_idx")
     return M.prompt_mean(per).select("data_source", "var", "metric", r6("value").alias("value"))
 
 
