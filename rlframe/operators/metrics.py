@@ -133,58 +133,61 @@ def validation_metrics_bootstrap(df: DataFrame, source: str, prompt: str, vars_:
     responses. Output is per prompt; average with :func:`prompt_mean`.
     """
     import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        src, pr = pdf[source].iloc[0], pdf[prompt].iloc[0]
-        preds = pdf[pred].tolist() if pred else None
-        for var in vars_:
-            vals = pdf[var].astype(float).tolist()
-            N = len(vals)
-            out = {f"mean@{N}": float(np.mean(vals))}
-            if N > 1:
-                out[f"std@{N}"] = float(np.std(vals))
-                ns, n = [], 2
-                while n < N:
-                    ns.append(n)
-                    n *= 2
-                ns.append(N)
-                arr = np.asarray(vals)
-                codes = None
-                if preds is not None:
-                    _, codes = np.unique(np.asarray(preds, dtype=object).astype(str), return_inverse=True)
-                for n in ns:
-                    # one call of shape (draws, n) consumes the legacy
-                    # generator's stream in the same order as the
-                    # reference's draw-by-draw loop
-                    idx = _draws(N, n, seed, n_bootstrap)
-                    sample = arr[idx]
-                    mx, mn = sample.max(axis=1), sample.min(axis=1)
-                    out[f"best@{n}/mean"], out[f"best@{n}/std"] = float(np.mean(mx)), float(np.std(mx))
-                    out[f"worst@{n}/mean"], out[f"worst@{n}/std"] = float(np.mean(mn)), float(np.std(mn))
-                    if codes is not None:
-                        pc = codes[idx]                                  # (draws, n)
-                        k = int(codes.max()) + 1
-                        onehot = pc[:, :, None] == np.arange(k)[None, None, :]
-                        cnt = onehot.sum(axis=1)                         # (draws, k)
-                        first = np.where(onehot.any(axis=1), onehot.argmax(axis=1), n)
-                        top = cnt == cnt.max(axis=1, keepdims=True)
-                        # dict insertion order = first occurrence in the draw
-                        win_pos = np.where(top, first, n + 1).min(axis=1)
-                        mj = arr[idx[np.arange(n_bootstrap), win_pos]]
-                        out[f"maj@{n}/mean"], out[f"maj@{n}/std"] = float(np.mean(mj)), float(np.std(mj))
-            rows += [(src, pr, var, k, v) for k, v in out.items()]
-        return rows
 
     cols = [source, prompt] + vars_ + ([pred] if pred else []) + ([order] if order else [])
     schema = f"{source} string, {prompt} string, var string, metric string, value double"
     keys = [source, prompt]
 
+    def run_many(groups: list) -> list:
+        """Groups of equal size share one draw matrix, so their bootstraps
+        run as one array computation."""
+        by_size: dict = {}
+        for g in groups:
+            by_size.setdefault(len(g), []).append(g)
+        rows = []
+        for N, gs in by_size.items():
+            meta = [(g[source].iloc[0], g[prompt].iloc[0]) for g in gs]
+            if preds_needed:
+                codes_all = [pd.factorize(g[pred].astype(str), sort=False)[0] for g in gs]
+            for var in vars_:
+                V = np.array([g[var].astype(float).to_numpy() for g in gs])          # (G, N)
+                out = {f"mean@{N}": V.mean(axis=1)}
+                if N > 1:
+                    out[f"std@{N}"] = V.std(axis=1)
+                    ns, n = [], 2
+                    while n < N:
+                        ns.append(n)
+                        n *= 2
+                    ns.append(N)
+                    for n in ns:
+                        idx = _draws(N, n, seed, n_bootstrap)                      # (B, n)
+                        S = V[:, idx]                                              # (G, B, n)
+                        mx, mn = S.max(axis=2), S.min(axis=2)
+                        out[f"best@{n}/mean"], out[f"best@{n}/std"] = mx.mean(axis=1), mx.std(axis=1)
+                        out[f"worst@{n}/mean"], out[f"worst@{n}/std"] = mn.mean(axis=1), mn.std(axis=1)
+                        if preds_needed:
+                            mj = np.empty((len(gs), n_bootstrap))
+                            for gi, codes in enumerate(codes_all):
+                                pc = codes[idx]
+                                k = int(codes.max()) + 1
+                                onehot = pc[:, :, None] == np.arange(k)[None, None, :]
+                                cnt = onehot.sum(axis=1)
+                                first = np.where(onehot.any(axis=1), onehot.argmax(axis=1), n)
+                                top = cnt == cnt.max(axis=1, keepdims=True)
+                                win_pos = np.where(top, first, n + 1).min(axis=1)
+                                mj[gi] = V[gi][idx[np.arange(n_bootstrap), win_pos]]
+                            out[f"maj@{n}/mean"], out[f"maj@{n}/std"] = mj.mean(axis=1), mj.std(axis=1)
+                for metric, arr in out.items():
+                    rows += [(m[0], m[1], var, metric, float(x)) for m, x in zip(meta, arr)]
+        return rows
+
+    preds_needed = pred is not None
+    out_cols = [source, prompt, "var", "metric", "value"]
+
     def per_partition(batches):
         # rows arrive hash-partitioned and sorted by key: cut each Arrow
         # batch at key changes and hold back the trailing group until the
-        # next batch shows where it ends (no per-group Python call overhead)
+        # next batch shows where it ends
         carry = None
         for pdf in batches:
             if carry is not None:
@@ -197,12 +200,9 @@ def validation_metrics_bootstrap(df: DataFrame, source: str, prompt: str, vars_:
             carry = pdf[tail]
             done = pdf[~tail]
             if len(done):
-                rows = []
-                for _, g in done.groupby(keys, sort=False):
-                    rows += run(g)
-                yield pd.DataFrame(rows, columns=[source, prompt, "var", "metric", "value"])
+                yield pd.DataFrame(run_many([g for _, g in done.groupby(keys, sort=False)]), columns=out_cols)
         if carry is not None and len(carry):
-            yield pd.DataFrame(run(carry), columns=[source, prompt, "var", "metric", "value"])
+            yield pd.DataFrame(run_many([carry]), columns=out_cols)
 
     # draws pick samples by position, so each group must arrive in sample
     # order (``order``), as the reference's per-prompt lists do
