@@ -9,7 +9,8 @@ from tools.check_oracle import digest
 SF = "/root/testdata/sf0.001"
 NAMES = ["grpo_advantage", "rloo_advantage", "gae", "discounted_return_reset", "eval_rollup",
          "score_bundle", "turn_loop_cut", "validation_metrics", "length_balance", "chunk_assign",
-         "latex_equal", "final_answer_match", "process_rloo", "call_status", "mc_rows"]
+         "latex_equal", "final_answer_match", "process_rloo", "call_status", "mc_rows",
+         "stream_group_complete", "stream_dedupe", "stream_score_metrics", "io_results_walk"]
 
 
 @pytest.fixture(scope="module")
