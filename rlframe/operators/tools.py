@@ -123,3 +123,29 @@ def greedy_assign(df: DataFrame, shard: str, order: str, length: str, k: int, ou
     from pyspark.sql.types import IntegerType, StructField, StructType
     schema = StructType(list(df.schema.fields) + [StructField(out, IntegerType())])
     return df.groupBy(shard).applyInPandas(run, schema)
+
+
+def tool_schema_valid(schema_json: str | Column) -> Column:
+    """TX-12: a tool schema is exactly {name, description, parameters} with a
+    non-blank string name, a string description, and parameters exactly
+    {type: "object", properties: object, required: list} whose required
+    names are all properties. (The reference's extra meta-schema validation
+    of ``parameters`` needs a JSON-Schema library and is not applied.)"""
+    j = F.col(schema_json) if isinstance(schema_json, str) else schema_json
+    v = F.try_parse_json(j)
+
+    def kind(path):
+        return F.schema_of_variant(F.variant_get(v, path, "variant"))
+    keys = F.array_sort(F.json_object_keys(j))
+    params = F.get_json_object(j, "$.parameters")
+    pkeys = F.array_sort(F.json_object_keys(params))
+    props = F.json_object_keys(F.get_json_object(j, "$.parameters.properties"))
+    required = F.from_json(F.get_json_object(j, "$.parameters.required"), "array<string>")
+    ok = ((keys == F.array(F.lit("description"), F.lit("name"), F.lit("parameters")))
+          & (kind("$.name") == "STRING") & (F.length(F.trim(F.variant_get(v, "$.name", "string"))) > 0)
+          & (kind("$.description") == "STRING") & kind("$.parameters").startswith("OBJECT")
+          & (pkeys == F.array(F.lit("properties"), F.lit("required"), F.lit("type")))
+          & (kind("$.parameters.type") == "STRING") & (F.variant_get(v, "$.parameters.type", "string") == "object")
+          & kind("$.parameters.properties").startswith("OBJECT") & kind("$.parameters.required").startswith("ARRAY")
+          & (F.size(F.array_except(required, props)) == 0))
+    return F.coalesce(ok, F.lit(False))

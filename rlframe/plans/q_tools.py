@@ -160,3 +160,23 @@ def greedy_assign(spark, sf_dir):
         F.col("l_quantity").cast("int").alias("len"))
     a = TL.greedy_assign(li, "shard", "ord", "len", 4)
     return a.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("len").cast("bigint").alias("total"))
+
+
+def _schema_json(conv_id, k):
+    name = F.concat(F.lit('"tool_'), conv_id.cast("string"), F.lit('"'))
+    props = '{"q": {"type": "string"}, "n": {"type": "integer"}}'
+    return (F.when(k == 0, F.concat(F.lit('{"name": '), name, F.lit(', "description": "d", "parameters": {"type": "object", "properties": '), F.lit(props), F.lit(', "required": ["q"]}}')))
+             .when(k == 1, F.concat(F.lit('{"name": '), name, F.lit(', "parameters": {"type": "object", "properties": '), F.lit(props), F.lit(', "required": ["q"]}}')))
+             .when(k == 2, F.concat(F.lit('{"name": " ", "description": "d", "parameters": {"type": "object", "properties": '), F.lit(props), F.lit(', "required": []}}')))
+             .when(k == 3, F.concat(F.lit('{"name": '), name, F.lit(', "description": "d", "parameters": {"type": "object", "properties": '), F.lit(props), F.lit(', "required": ["q", "z"]}}')))
+             .when(k == 4, F.concat(F.lit('{"name": '), name, F.lit(', "description": "d", "parameters": {"type": "array", "properties": '), F.lit(props), F.lit(', "required": ["n"]}}')))
+             .otherwise(F.lit("not json")))
+
+
+@query("tool_schema_valid", """
+SELECT conv_id, conv_id % 6 = 0 AS valid FROM (SELECT DISTINCT conv_id FROM conversations)
+""")
+def tool_schema_valid(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    k = F.pmod("conv_id", F.lit(6))
+    return c.select("conv_id", TL.tool_schema_valid(_schema_json(F.col("conv_id"), k)).alias("valid"))
