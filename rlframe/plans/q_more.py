@@ -85,3 +85,53 @@ def message_masks(spark, sf_dir):
     d = g.select("conv_id", mask.alias("mask"))
     return d.select("conv_id", F.size("mask").cast("bigint").alias("n_tokens"),
                     F.aggregate("mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_loss"))
+
+
+_RO = AD.sql_with(rollouts=AD.ROLLOUTS_SQL)
+
+
+@query("advantage_by_name", _RO + f"""
+, st AS (SELECT uid, count(*) AS n, avg(score) AS m FROM rollouts GROUP BY uid)
+SELECT r.uid, CAST(r.sample_idx AS BIGINT) AS sample_idx,
+       {R6('CASE WHEN st.n > 1 THEN r.score * st.n / (st.n - 1) - st.m * st.n / (st.n - 1) ELSE r.score END')} AS advantage
+FROM rollouts r JOIN st USING (uid)
+""")
+def advantage_by_name(spark, sf_dir):
+    from rlframe.operators.advantage import advantage
+    adv = advantage(AD.rollouts(spark, sf_dir), "rloo")
+    return adv.select("uid", F.col("sample_idx").cast("bigint"), r6("advantage").alias("advantage"))
+
+
+@query("reexpand_results", """
+WITH a AS (SELECT conv_id, count(*) AS n_asst FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+SELECT c.conv_id, coalesce(a.n_asst, 0) AS n_asst, a.conv_id IS NOT NULL AS active
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN a USING (conv_id)
+""")
+def reexpand_results(spark, sf_dir):
+    from rlframe.operators.turns import reexpand
+    m = AD.messages(spark, sf_dir)
+    active = m.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_asst")) \
+        .withColumn("active", F.lit(True))
+    keys = m.select("conv_id").distinct()
+    return reexpand(active, keys, ["conv_id"], {"n_asst": 0, "active": False}).select("conv_id", "n_asst", "active")
+
+
+@query("nested_select", AD.sql_with(messages=AD.MESSAGES_SQL) + """
+SELECT conv_id, arg_min(content, turn) AS first_content, arg_min(role, turn) AS first_role FROM messages GROUP BY conv_id
+""")
+def nested_select(spark, sf_dir):
+    from rlframe.operators.prepare import conversation_table, nested_select as ns
+    t = conversation_table(AD.messages(spark, sf_dir)).withColumn("rec", F.struct(F.struct(
+        F.col("messages")[0].alias("first")).alias("meta")))
+    return t.select("conv_id", ns("rec", ["meta", "first", "content"]).alias("first_content"),
+                    ns("rec", ["meta", "first", "role"]).alias("first_role"))
+
+
+@query("cut_after_call", AD.sql_with(messages=AD.MESSAGES_SQL, wrapped=AD.WRAPPED_SQL) + """
+SELECT conv_id, turn, CASE WHEN contains(content, '</interaction_prompt>')
+                           THEN split_part(content, '</interaction_prompt>', 1) || '</interaction_prompt>' ELSE content END AS cut
+FROM wrapped WHERE role = 'assistant'
+""")
+def cut_after_call(spark, sf_dir):
+    m = AD.wrapped_messages(spark, sf_dir).where(F.col("role") == "assistant")
+    return m.select("conv_id", "turn", A.cut_after_first_block("content", "</interaction_prompt>").alias("cut"))
