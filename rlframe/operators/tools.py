@@ -103,15 +103,18 @@ def place_process_rewards(resp: DataFrame, sample: str, text: str, valid_len: st
              .select(sample, "pos", (F.col("reward") / (F.col("_mx") + F.lit(1e-6))).alias("reward")))
 
 
-def greedy_assign(df: DataFrame, shard: str, order: str, length: str, k: int, out: str = "bucket") -> DataFrame:
+def greedy_assign(df: DataFrame, shard: str, order: str | list[str], length: str, k: int,
+                  out: str = "bucket") -> DataFrame:
     """BS-15: within each shard, items in arrival order go to the currently
     least-loaded of k buckets (ties: lowest bucket). Sequential by nature,
     so each shard runs as one pandas group; a shard is one batch being
     balanced, bounded by the batch size."""
     import heapq
 
+    by = [order] if isinstance(order, str) else list(order)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
+        pdf = pdf.sort_values(by, kind="stable")
         heap = [(0, b) for b in range(k)]
         out_b = []
         for n in pdf[length].tolist():

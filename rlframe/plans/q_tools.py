@@ -149,16 +149,32 @@ def metric_log_best(spark, sf_dir):
     return ME.best_from_log(lines).select(r6("best").alias("best"))
 
 
-@query("greedy_assign")
+@query("greedy_assign", """
+WITH RECURSIVE items AS (
+  SELECT CAST(floor(l_orderkey / 100) AS BIGINT) AS shard, CAST(l_quantity AS INTEGER) AS len,
+         row_number() OVER (PARTITION BY floor(l_orderkey / 100)
+                            ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS i
+  FROM lineitem)
+, r AS (
+  SELECT shard, CAST(0 AS BIGINT) AS i, [0, 0, 0, 0] AS loads, CAST(NULL AS INTEGER) AS bucket, CAST(NULL AS INTEGER) AS len
+  FROM (SELECT DISTINCT shard FROM items)
+  UNION ALL
+  SELECT r.shard, r.i + 1,
+         list_transform(range(4), lambda b: r.loads[b + 1] +
+             CASE WHEN b = list_position(r.loads, list_min(r.loads)) - 1 THEN it.len ELSE 0 END),
+         CAST(list_position(r.loads, list_min(r.loads)) - 1 AS INTEGER), it.len
+  FROM r JOIN items it ON it.shard = r.shard AND it.i = r.i + 1)
+SELECT shard, bucket, count(*) AS n, CAST(sum(len) AS BIGINT) AS total FROM r WHERE bucket IS NOT NULL GROUP BY ALL
+""")
 def greedy_assign(spark, sf_dir):
-    """Arrival-order least-loaded assignment (sequential per shard): rows-only.
-    A shard is 100 consecutive orders -- a fixed-size batch, so a pandas
-    group stays the same size however large the table grows."""
+    """Arrival-order least-loaded assignment, sequential per shard. A shard
+    is 100 consecutive orders -- a fixed-size batch, so a pandas group stays
+    the same size however large the table grows."""
     li = table(spark, sf_dir, "lineitem").select(
-        F.floor(F.col("l_orderkey") / 100).alias("shard"),
-        (F.col("l_orderkey") * 100000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ord"),
+        F.floor(F.col("l_orderkey") / 100).cast("bigint").alias("shard"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.col("l_quantity").cast("int").alias("len"))
-    a = TL.greedy_assign(li, "shard", "ord", "len", 4)
+    a = TL.greedy_assign(li, "shard", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "len", 4)
     return a.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("len").cast("bigint").alias("total"))
 
 
