@@ -6,9 +6,14 @@ parameters; ``ORACLES`` holds DuckDB SQL where SQL can express the result.
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rlframe.llm.chat import Formatter
+from rlframe.llm.shared import staged
 from rlframe.sources.tables import table
 
 QUERIES: dict = {}
@@ -32,6 +37,87 @@ def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back from the archives."""
+    from rlframe.llm.warc import read_archives, write_archives
+    files, _ = write_archives(table(spark, sf_dir, "pages"))
+    page = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return read_archives(spark, files, with_payload=False).filter("not gap").select(
+        F.expr("try_cast(substring_index(record_id, ':', -1) AS bigint)").alias("page_id"), "payload_bytes",
+        "payload_digest", "record_type", page("refers_to").alias("refers_to"), F.col("uri").alias("url"))
+
+
+def _conversation_digests(batches):
+    """Stream turns in conversation order into one row per conversation."""
+    f = Formatter()
+    out: list[tuple] = []
+    now: list | None = None
+
+    def close():
+        if now is not None:
+            out.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5], now[6]))
+
+    def flush():
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)],
+                                          names=[x.split()[0] for x in _DIGESTS.split(", ")])
+
+    for batch in batches:
+        for conv, segments, ok in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segments", "order_ok"))):
+            if now is None or now[0] != conv:
+                close()
+                now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, True]
+            whole = "".join(s["text"] for s in segments)
+            role, text = f.read_turn(whole)
+            under_loss = f.unescape("".join(s["text"] for s in segments if s["loss"]))
+            now[1] += 1
+            now[2].update(f"{role}\n{text}\n".encode())
+            now[3] += len(under_loss)
+            now[4].update(under_loss.encode())
+            now[5] += len(whole)
+            now[6] &= ok
+        if len(out) > 5000:
+            yield flush()
+            out.clear()
+    close()
+    yield flush()
+
+
+_DIGESTS = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
+            "formatted_chars long, order_ok boolean")
+
+
+@query
+def op3_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted conversations, written and read back; digests per conversation."""
+    from rlframe.llm.chat import format_conversations
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    written = staged(format_conversations(turns), "formatted")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a hash over a conversation is sequential: it is streamed, never held
+    return written.repartition(n, "conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(_conversation_digests, _DIGESTS)
+
+
+@query
+def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rlframe.llm.tokens import read_id_files, write_id_files
+    files = write_id_files(table(spark, sf_dir, "documents"), vocabulary())
+    return read_id_files(spark, files, with_ids=False)
+
+
+@query
+def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rlframe.llm.sharding import uniform_shards
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"))
+    return uniform_shards(docs, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                                           F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op6_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rlframe.llm.pii import find_private
