@@ -145,6 +145,12 @@ def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rlframe.llm.lm import score_texts
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
