@@ -156,7 +156,12 @@ def _range_product(weight: np.ndarray, sketch: np.ndarray):
                     i = np.minimum(np.searchsorted(passages, block - shift), len(passages) - 1)
                     same = np.searchsorted(at, block - shift, side="right") == np.searchsorted(at, block, side="right")
                     ok = (passages[i] == block - shift) & same
-                    np.add.at(total, term[ok], weight[term[ok], None] * z[i[ok]])
+                    by = np.flatnonzero(ok)
+                    by = by[np.argsort(term[by], kind="stable")]
+                    if len(by):
+                        first = np.flatnonzero(np.diff(term[by], prepend=-1))
+                        t = term[by[first]]
+                        total[t] += weight[t, None] * np.add.reduceat(z[i[by]], first, axis=0)
         some = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(total[some]), pa.list_(pa.float64()))],
                                          names=["slot", "row"])
@@ -220,6 +225,7 @@ def _search(weight: np.ndarray, space: np.ndarray, items: list[np.ndarray], item
     def run(batches):
         masks = [place_masks(s) for s in items]
         tails = [place_masks(s[-ANSWER_WORDS:]) for s in items]
+        there = np.zeros(len(weight), bool)
         for batch in batches:
             found = []
             ids = batch.column("doc_id").to_pylist()
@@ -229,12 +235,16 @@ def _search(weight: np.ndarray, space: np.ndarray, items: list[np.ndarray], item
                     continue
                 text, first, z, _, _ = got
                 cosine = _unit(z) @ queries.T
-                as_list: dict[int, list[int]] = {}
                 for p, q in zip(*np.nonzero(cosine >= MIN_COSINE)):
                     t = int(text[p])
-                    seq = as_list.setdefault(t, seqs[t].tolist())
                     n = len(items[q])
-                    near = seq[max(0, int(first[p]) - n):int(first[p]) + PASSAGE + n]
+                    near = seqs[t][max(0, int(first[p]) - n):int(first[p]) + PASSAGE + n]
+                    there[near] = True
+                    bound = int(there[items[q]].sum())  # a word that isn't near can't be in the subsequence
+                    there[near] = False
+                    if bound < MIN_LCS * n:
+                        continue
+                    near = near[near > 0].tolist()
                     lcs = lcs_length(masks[q], n, near) / n
                     if lcs < MIN_LCS:
                         continue
