@@ -272,8 +272,7 @@ def strict_box_score(s: str | Column, gt: str | Column) -> Column:
 # ------------------------------------------------------ tolerant (MS-9)
 def numeric_close(a: str | Column, b: str | Column, rel: float = 1e-4, include_percentage: bool = True) -> Column:
     """Numbers equal within relative tolerance; optionally also x/100, x*100."""
-    x = F.regexp_replace(_c(a), ",", "").try_cast("double")
-    y = F.regexp_replace(_c(b), ",", "").try_cast("double")
+    x, y = (F.regexp_replace(_c(v), r"\{,\}|,", "").try_cast("double") for v in (a, b))
 
     def close(u, v):
         return F.abs(u - v) <= F.lit(rel) * F.greatest(F.abs(u), F.abs(v))
@@ -469,6 +468,20 @@ def match_answer(response: str | Column) -> Column:
 
 
 def _last_boxed_strict(s: Column) -> Column:
-    """Content of the last \\boxed{...} (brace matched, stripped), NULL if none."""
-    return let(last_boxed(s), lambda b: F.when(b.startswith("\\boxed{"),
-                                               py_strip(b.substr(F.lit(8), F.length(b) - 8))))
+    """Stripped content of the first brace pair behind the last \\boxed, or
+    \\fbox if there is none; NULL if there is no closed pair or it is empty."""
+    def inside(tail):
+        # depth after each character; the pair closes where it first returns to 0
+        st = F.aggregate(F.split(tail, ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("i"), F.lit(0).alias("a"), F.lit(0).alias("z")),
+                         lambda s, c: F.struct(
+                             (s["d"] + F.when(s["z"] > 0, 0).when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("d"),
+                             (s["i"] + 1).alias("i"),
+                             F.when((s["a"] == 0) & (c == "{"), s["i"] + 1).otherwise(s["a"]).alias("a"),
+                             F.when((s["z"] == 0) & (c == "}") & (s["d"] == 1), s["i"] + 1).otherwise(s["z"]).alias("z")))
+        return let(st, lambda p: F.when((p["a"] > 0) & (p["z"] > 0),
+                                        F.nullif(py_strip(tail.substr(p["a"] + 1, p["z"] - p["a"] - 1)), F.lit(""))))
+
+    def tail_of(v):
+        return let(_rfind(v, "\\boxed"), lambda i: let(_rfind(v, "\\fbox"), lambda j: F.when(
+            i >= 0, v.substr(i + 1, F.length(v))).when(j >= 0, v.substr(j + 1, F.length(v)))))
+    return let(tail_of(s), inside)

@@ -56,7 +56,7 @@ def repeat(df: DataFrame, times: int, interleave: bool = True, idx: str = "idx",
 def chunk(df: DataFrame, k: int, n: int, idx: str = "idx", out: str = "chunk_id") -> DataFrame:
     """BS-6: k equal contiguous chunks; the batch size must divide by k."""
     if n % k != 0:
-        raise ValueError(f"only support equal chunk. Got size of DataProto {n} and chunk {k}.")
+        raise ValueError(f"{n} rows cannot be cut into {k} equal chunks")
     return df.withColumn(out, F.floor(F.col(idx) / (n // k)).cast("int"))
 
 

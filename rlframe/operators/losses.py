@@ -50,7 +50,8 @@ def adaptive_kl_coef(steps: DataFrame, init_coef: float, target: float, horizon:
 
     coef_{t+1} = coef_t * (1 + clip(kl_t/target - 1, -0.2, 0.2) * n_t / horizon).
     Each step's multiplier is row-local; the running product is a sum of
-    logs over preceding steps. ``coef`` is the value used *at* that step.
+    logs of magnitudes over preceding steps, its sign the parity of negative
+    ones, and 0 from the first zero on. ``coef`` is the value used *at* that step.
     """
     from pyspark.sql import Window
     mult = F.lit(1.0) + F.greatest(F.least(F.col(kl) / F.lit(target) - 1, F.lit(0.2)), F.lit(-0.2)) \
@@ -58,9 +59,12 @@ def adaptive_kl_coef(steps: DataFrame, init_coef: float, target: float, horizon:
     w = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     # a training run has one row per step (thousands), so an unpartitioned
     # running window over it is a small, bounded job
-    d = steps.withColumn("_lm", F.log(mult))
-    return d.withColumn("coef", F.lit(init_coef) * F.exp(F.coalesce(F.sum("_lm").over(w), F.lit(0.0)))) \
-            .drop("_lm")
+    d = steps.withColumn("_m", mult)
+    size = F.sum(F.when(F.col("_m") != 0, F.log(F.abs("_m")))).over(w)
+    below = F.coalesce(F.sum((F.col("_m") < 0).cast("long")).over(w), F.lit(0))
+    zero = F.coalesce(F.max((F.col("_m") == 0).cast("int")).over(w), F.lit(0))
+    sign = F.when(zero == 1, F.lit(0.0)).when(F.pmod(below, F.lit(2)) == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return d.withColumn("coef", F.lit(init_coef) * sign * F.exp(F.coalesce(size, F.lit(0.0)))).drop("_m")
 
 
 def policy_loss_terms(old_logp: str, logp: str, adv: str, clip_low: float, clip_high: float,

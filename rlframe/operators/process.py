@@ -31,7 +31,7 @@ def last_token_reward(tokens: DataFrame, seq: list[str], pos: str, score: str, o
 
 def process_rloo(tokens: DataFrame, seq: list[str], group: str, pos: str, mask: str,
                  rm_score: str | None, acc: str | None, rm_coef: float = 1.0, gt_coef: float = 5.0,
-                 out_adv: str = "advantage", out_ret: str = "returns", max_pos: int | None = None) -> DataFrame:
+                 out_adv: str = "advantage", out_ret: str = "returns") -> DataFrame:
     """WN-12: leave-one-out per reward source, weighted sum, reward-to-go,
     whitened over the response mask.
 
@@ -64,15 +64,14 @@ def process_rloo(tokens: DataFrame, seq: list[str], group: str, pos: str, mask:
         total = total + F.lit(coef) * F.col(f"{r}_l")
     d = d.withColumn("_final", total * F.col(mask))
     d = d.withColumn("_one", F.lit(1.0))
-    d = reverse_linear_scan(d, seq, pos, "_one", "_final", out_ret, max_pos=max_pos)
+    d = reverse_linear_scan(d, seq, pos, "_one", "_final", out_ret)
     d = masked_whiten(d, out_ret, mask, out_adv)
     return d.drop(*[c for c in d.columns if c.startswith("_")])
 
 
 def implicit_process_reward(tokens: DataFrame, seq: list[str], pos: str, logp: str, ref_logp: str,
                             acc: str | None, beta: float, lam: float, granularity: str = "token",
-                            use_gt: bool = True, out: str = "token_score",
-                            max_pos: int | None = None) -> DataFrame:
+                            use_gt: bool = True, out: str = "token_score") -> DataFrame:
     """WN-18: q = logp - ref_logp. lam = 0: r = beta*q. Otherwise the last
     valid token's beta*q is replaced by acc - sum(earlier beta*q) and
     r_t = beta*q_t + lam * r_{t+1}. Token granularity writes r to every
@@ -89,7 +88,7 @@ def implicit_process_reward(tokens: DataFrame, seq: list[str], pos: str, logp: s
             d = d.withColumn("_q", F.when(F.col(pos) == F.col("_last"), F.col(acc).cast("double") - earlier)
                              .otherwise(F.col("_q")))
         d = d.withColumn("_lam", F.lit(float(lam)))
-        d = reverse_linear_scan(d, seq, pos, "_lam", "_q", "_r", max_pos=max_pos)
+        d = reverse_linear_scan(d, seq, pos, "_lam", "_q", "_r")
     if granularity == "token":
         d = d.withColumn(out, F.when(F.col(pos) < F.col("_last"), F.col("_r")).otherwise(F.lit(0.0)))
     elif granularity == "whole":
@@ -133,7 +132,7 @@ def detach_preference_loss(seqs: DataFrame, group: str, q: str, acc: str, beta:
     cur = F.col(q) * F.lit(beta)
     sign = F.when(pos, F.lit(1.0)).otherwise(F.lit(-1.0))
     z = (cur - other) * sign
-    loss = -F.log(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+    loss = F.greatest(-z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))  # -log sigmoid(z), no underflow
     d = d.withColumn("_loss", loss)
     if bon_mode == "none":
         return d.agg(F.avg("_loss").alias("dpo_loss"))

@@ -1,120 +1,98 @@
 """Reverse linear recurrences over ordered rows, split into bounded chunks.
 
-Returns, GAE, reward-to-go and "next non-null value" are all instances of
+Returns, GAE, reward-to-go and "next value" are all instances of
 
     x_t = b_t + a_t * x_next(t)         (x = b at the last row of a key)
 
-with ``a_t`` in [0, 1]. A single window over a whole key would put a hot
-key (one sequence, or one group holding a third of the table) into one task.
-Instead rows are cut into chunks of ``chunk`` consecutive positions; inside a
-chunk the recurrence is solved with window sums in log space; the carry
-between chunks is itself a (much smaller) recurrence over one row per chunk,
-solved by the same function, and joined back on ``(key, chunk)`` -- the
-partitioning the windows already use, so the big side is not shuffled again.
-
-Inside a chunk, with ``lq_t`` the log of the product of factors from the
-start of the zero-free segment up to (not including) t:
-
-    x_t = sum_{k>=t in segment} exp(lq_k - lq_t) * b_k
-
-To keep every ``exp`` finite, rows are grouped into super-blocks of width
-138 in ``-lq`` under two blockings offset by 69; each row uses the blocking
-in which it sits in the first half, so all terms it keeps have factors in
-(e^-138, 1] after the shift, and the terms it drops are discounted by less
-than e^-69 (about 1e-30) relative to x_t's own scale -- below double
-precision for any realistic reward range.
+A single pass over a whole key would put a hot key (one sequence, or one
+group holding a third of the table) into one task. Instead rows are cut into
+chunks of ``chunk`` positions. A row maps the carry that enters its chunk to
+its own value: x_t = local_t + open_t * carry. Both numbers come from one
+backward pass over the chunk's sorted rows (Arrow batches, in double
+precision, nothing dropped). The first row of each chunk, one row per
+occupied chunk, forms the same problem again, whose solution gives every
+chunk the value at the next *occupied* chunk; it is joined back on
+``(key, chunk)``, the partitioning the pass already uses. Gaps between
+positions, negative or zero factors and any magnitude are all exact.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-SB = 138.0
-HALF = 69.0
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+_OUT = ("_local", "_open", "_local_next", "_open_next")
+
+
+def _backward(batches):
+    """Rows sorted by key, chunk and descending position; ``_row`` is 1 at
+    the first of a chunk. ``_open_next`` is null where no row of the chunk
+    follows."""
+    local, opened = 0.0, None
+    for batch in batches:
+        a = batch.column("_scan_a").to_pylist()
+        b = batch.column("_scan_b").to_pylist()
+        row = batch.column("_row").to_pylist()
+        out = np.empty((4, len(a)))
+        none = np.zeros(len(a), bool)
+        for i, (f, v, r) in enumerate(zip(a, b, row)):
+            if r == 1:
+                local, opened = 0.0, None
+            out[2, i] = local
+            none[i] = opened is None
+            out[3, i] = 1.0 if opened is None else opened
+            local = v + f * local
+            opened = f * (1.0 if opened is None else opened)
+            out[0, i], out[1, i] = local, opened
+        cols = [pa.array(out[0]), pa.array(out[1]), pa.array(out[2], mask=none), pa.array(out[3], mask=none)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *_OUT])
+
+
+def _solve(df: DataFrame, keys: list[str], pos: str, chunk: int, top: int) -> DataFrame:
+    """df has keys, pos, _scan_a, _scan_b; adds _x and _x_next (null at the last row)."""
+    pk = [*keys, "_c"]
+    d = df.withColumn("_c", F.floor(F.col(pos) / F.lit(chunk)).cast("long"))
+    d = d.withColumn("_row", F.row_number().over(Window.partitionBy(*pk).orderBy(F.col(pos).desc())))
+    d = d.mapInArrow(_backward, StructType([*d.schema.fields, *(StructField(c, DoubleType()) for c in _OUT)]))
+    if top < chunk:
+        return d.withColumn("_x", F.col("_local")).withColumn("_x_next", F.col("_local_next")).drop("_c", "_row", *_OUT)
+    first = d.groupBy(*pk).agg(F.min_by(F.struct("_local", "_open"), F.col(pos)).alias("_f"))
+    chunks = first.select(*keys, F.col("_c").alias("_cpos"), F.col("_f._open").alias("_scan_a"), F.col("_f._local").alias("_scan_b"))
+    carry = _solve(chunks, keys, "_cpos", chunk, top // chunk) \
+        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cpos").alias("_kc"), F.col("_x_next").alias("_in"))
+    same = F.col("_c") == F.col("_kc")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    d = d.join(carry, same, "left")
+    enters = F.coalesce(F.col("_in"), F.lit(0.0))
+    return d.withColumn("_x", F.col("_local") + F.col("_open") * enters).withColumn(
+        "_x_next", F.when(F.col("_open_next").isNull(), F.col("_in"))
+        .otherwise(F.col("_local_next") + F.col("_open_next") * enters)) \
+        .drop("_c", "_row", "_in", "_kc", *[f"_k{i}" for i in range(len(keys))], *_OUT)
+
+
+def last_position(df: DataFrame, pos: str) -> int:
+    """Largest distance of a position from 0; sets how often chunks nest."""
+    return int(df.agg(F.max(F.abs(F.col(pos)))).first()[0] or 0)
 
 
 def reverse_linear_scan(df: DataFrame, keys: list[str], pos: str, a: str, b: str,
-                        out: str, chunk: int = 4096, max_pos: int | None = None) -> DataFrame:
-    """Add column ``out`` = x (see module doc). ``a`` in [0,1], ``b`` numeric.
-
-    ``max_pos`` bounds ``pos`` (e.g. the max response length); when None it
-    is computed with one small aggregate so the number of chunk levels is
-    known before planning.
-    """
-    if max_pos is None:
-        max_pos = df.agg(F.max(pos)).first()[0] or 0
-    la = F.when(F.col(a) > 0, F.log(F.col(a).cast("double")))  # NULL = factor 0
-    base = df.withColumn("_la", la).withColumn("_b", F.coalesce(F.col(b).cast("double"), F.lit(0.0)))
-    res = _solve(base, keys, pos, chunk, int(max_pos))
-    return res.withColumnRenamed("_x", out).drop("_la", "_b")
-
-
-def _solve(df: DataFrame, keys: list[str], pos: str, chunk: int, max_pos: int) -> DataFrame:
-    """df has keys, pos, _la (log factor or NULL), _b; adds _x."""
-    c = F.floor(F.col(pos) / F.lit(chunk)).cast("long")
-    d = df.withColumn("_c", c)
-    pk = keys + ["_c"]
-    wc = Window.partitionBy(*pk).orderBy(pos)
-    z = F.col("_la").isNull().cast("int")
-    d = d.withColumn("_z", z).withColumn(
-        "_seg", F.sum("_z").over(wc.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_z"))
-    sk = pk + ["_seg"]
-    ws = Window.partitionBy(*sk).orderBy(pos)
-    wall = Window.partitionBy(*sk)
-    la0 = F.coalesce(F.col("_la"), F.lit(0.0))
-    d = (d.withColumn("_la0", la0)
-          .withColumn("_lq", F.sum("_la0").over(ws.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_la0"))
-          .withColumn("_segtot", F.sum("_la0").over(wall))
-          .withColumn("_segz", F.max("_z").over(wall)))
-    xs = []
-    for i, off in enumerate((0.0, HALF)):
-        m = F.floor((-F.col("_lq") + F.lit(off)) / F.lit(SB))
-        d = d.withColumn(f"_m{i}", m)
-        shift = F.col(f"_m{i}") * F.lit(SB) - F.lit(off)
-        d = d.withColumn(f"_t{i}", F.exp(F.col("_lq") + shift) * F.col("_b"))
-        wsb = Window.partitionBy(*(sk + [f"_m{i}"])).orderBy(F.col(pos).desc())
-        d = d.withColumn(f"_s{i}", F.sum(f"_t{i}").over(wsb.rowsBetween(Window.unboundedPreceding, 0)))
-        d = d.withColumn(f"_x{i}", F.exp(-F.col("_lq") - shift) * F.col(f"_s{i}"))
-        xs.append((-F.col("_lq") + F.lit(off)) - F.col(f"_m{i}") * F.lit(SB) < F.lit(HALF))
-    d = d.withColumn("_local", F.when(xs[0], F.col("_x0")).otherwise(F.col("_x1")))
-    # factor from t through the chunk end (0 when a zero factor intervenes)
-    d = d.withColumn("_P", F.when(F.col("_segz") == 0, F.exp(F.col("_segtot") - F.col("_lq")))
-                     .otherwise(F.lit(0.0)))
-    tmp = [f"_{p}{i}" for p in "mtsx" for i in (0, 1)] + ["_z", "_seg", "_la0", "_lq", "_segtot", "_segz"]
-    d = d.drop(*tmp)
-    if max_pos < chunk:
-        return d.withColumn("_x", F.col("_local")).drop("_local", "_P", "_c")
-    # one row per chunk: its first row's local value and open factor
-    first = d.groupBy(*pk).agg(
-        F.min_by(F.struct("_local", "_P"), F.col(pos)).alias("_f"))
-    chunks = first.select(
-        *keys, F.col("_c").alias("_cpos"),
-        F.when(F.col("_f._P") > 0, F.log(F.col("_f._P"))).alias("_la"),
-        F.col("_f._local").alias("_b"))
-    solved = _solve(chunks, keys, "_cpos", chunk, max_pos // chunk)
-    nxt = solved.select(*keys, (F.col("_cpos") - 1).alias("_c"), F.col("_x").alias("_xn"))
-    out = d.join(nxt, pk, "left").withColumn(
-        "_x", F.col("_local") + F.col("_P") * F.coalesce(F.col("_xn"), F.lit(0.0)))
-    return out.drop("_local", "_P", "_c", "_xn")
+                        out: str, chunk: int = 4096, top: int | None = None) -> DataFrame:
+    """Add column ``out`` = x (see module doc). Null factors are 0, null
+    addends 0. ``top`` is ``last_position`` of the same rows, if it is known."""
+    top = last_position(df, pos) if top is None else top
+    base = df.withColumn("_scan_a", F.coalesce(F.col(a).cast("double"), F.lit(0.0))) \
+        .withColumn("_scan_b", F.coalesce(F.col(b).cast("double"), F.lit(0.0)))
+    return _solve(base, keys, pos, chunk, top).withColumnRenamed("_x", out).drop("_x_next", "_scan_a", "_scan_b")
 
 
 def lead_next(df: DataFrame, keys: list[str], pos: str, col: str, out: str,
-              chunk: int = 4096, max_pos: int | None = None) -> DataFrame:
-    """Value of ``col`` at the next row (by ``pos``) of the same key, NULL at
-    the end. Positions are assumed contiguous across chunk borders (the
-    first row of chunk c+1 follows the last row of chunk c). When every
-    position fits in one chunk (``max_pos < chunk``) the cross-chunk lookup
-    is skipped."""
-    c = F.floor(F.col(pos) / F.lit(chunk)).cast("long")
-    d = df.withColumn("_c", c)
-    pk = keys + ["_c"]
-    w = Window.partitionBy(*pk).orderBy(pos)
-    if max_pos is not None and max_pos < chunk:
-        return d.withColumn(out, F.lead(col).over(w)).drop("_c")
-    d = d.withColumn("_ld", F.lead(col).over(w)).withColumn("_rl", F.row_number().over(w.orderBy(F.col(pos).desc())))
-    firsts = d.groupBy(*pk).agg(F.min_by(F.col(col), F.col(pos)).alias("_fv"))
-    nxt = firsts.select(*keys, (F.col("_c") - 1).alias("_c"), "_fv")
-    d = d.join(nxt, pk, "left")
-    return d.withColumn(out, F.when(F.col("_rl") == 1, F.col("_fv")).otherwise(F.col("_ld"))).drop(
-        "_c", "_ld", "_rl", "_fv")
+              chunk: int = 4096, top: int | None = None) -> DataFrame:
+    """Value of the numeric ``col`` (null as 0) at the next row of the same
+    key by ``pos``, whatever the gap; NULL at the end."""
+    top = last_position(df, pos) if top is None else top
+    base = df.withColumn("_scan_a", F.lit(0.0)).withColumn("_scan_b", F.coalesce(F.col(col).cast("double"), F.lit(0.0)))
+    return _solve(base, keys, pos, chunk, top).withColumnRenamed("_x_next", out).drop("_x", "_scan_a", "_scan_b")

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rlframe.functions.util import let
+
 from rlframe.functions import transcript as TR
 
 EOS = "<|im_end|>"
@@ -136,9 +138,26 @@ def reexpand(active_results: DataFrame, all_keys: DataFrame, key: list[str], def
     return j.fillna(defaults)
 
 
-def fenced_code(text: str | Column, fence: str = "```python") -> Column:
-    """TX-22: code lines between the first ``fence`` line and the next closing
-    fence line; NULL when the block is not terminated."""
+def fenced_code(text: str | Column, fence: str = "```python", separator: str = "# ========") -> Column:
+    """TX-22: the lines of all blocks between a ``fence`` line and the next
+    closing fence line, each block behind a separator line; NULL without a
+    block or when the last one is not closed."""
     t = F.col(text) if isinstance(text, str) else text
-    pat = r"(?s)(?:^|\n)" + fence.replace("`", "\\`") + r"[^\n]*\n(.*?)\n```"
-    return F.when(t.rlike(pat), F.regexp_extract(t, pat, 1))
+    lines = F.split(t, "\n", -1)
+
+    def mark(ln):  # 1 opens, 2 closes, 0 is any other line
+        return F.when(ln.startswith(fence) | ln.endswith(fence), 1).when(ln.startswith("```"), 2).otherwise(0)
+
+    def body(x):
+        opened = F.exists(x, lambda m: m == 1)
+        # whether each line is inside: the last mark up to it opens
+        state = F.aggregate(x, F.struct(F.lit(0).alias("on"), F.lit("").alias("flags")), lambda s, m: let(
+            F.when(m == 1, 1).when(m == 2, 0).otherwise(s["on"]), lambda on: F.struct(
+                on.alias("on"), F.concat(s["flags"], F.when(m == 1, "o").when((m == 0) & (on == 1), "i").otherwise("-")).alias("flags"))))
+        return let(state, lambda s: F.when(opened & (s["on"] == 0), s["flags"]))
+
+    def code(flags):
+        pieces = F.zip_with(lines, F.split(flags, ""), lambda ln, f: F.when(f == "o", F.lit(f"\n{separator}\n"))
+                            .when(f == "i", F.concat(ln, F.lit("\n"))).otherwise(F.lit("")))
+        return F.when(flags.isNotNull(), F.array_join(pieces, ""))
+    return let(body(F.transform(lines, mark)), code)

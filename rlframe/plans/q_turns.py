@@ -126,13 +126,26 @@ def cut_at_pad(spark, sf_dir):
     return p.select("conv_id", TR.cut_at(F.col("t"), "<|endoftext|>", "<|im_end|>").alias("cleaned"))
 
 
-@query("fenced_code", """
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text END AS code FROM documents
+# two blocks, the second with every line of the text; odd documents leave it
+# open, every third has no block at all. The rule is folded over the lines.
+@query("fenced_code", r"""
+WITH RECURSIVE src AS (
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text
+    WHEN doc_id % 2 = 0 THEN concat('Here:', chr(10), '```python', chr(10), 'x = ', doc_id, chr(10), '```', chr(10), 'then', chr(10), '```python', chr(10), text, chr(10), '```', chr(10), 'done')
+    ELSE concat('```python', chr(10), 'y', chr(10), '```', chr(10), '```python', chr(10), text) END AS t
+  FROM documents),
+ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM src),
+mk AS (SELECT *, CASE WHEN starts_with(l, '```python') OR ends_with(l, '```python') THEN 1 WHEN starts_with(l, '```') THEN 0 END AS m FROM ln),
+st AS (SELECT *, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS on_ FROM mk),
+r AS (SELECT doc_id, string_agg(CASE WHEN m = 1 THEN chr(10) || '# ========' || chr(10) WHEN m IS NULL AND on_ = 1 THEN l || chr(10) ELSE '' END, '' ORDER BY i) AS code,
+        max(m) AS any_, arg_max(on_, i) AS open_ FROM st GROUP BY doc_id)
+SELECT doc_id, CASE WHEN any_ = 1 AND open_ = 0 THEN code END AS code FROM r
 """)
 def fenced_code(spark, sf_dir):
     from rlframe.sources.tables import table
     d = table(spark, sf_dir, "documents")
-    src = F.when(F.pmod("doc_id", F.lit(2)) == 0,
-                 F.concat(F.lit("Here:\n```python\n"), F.col("text"), F.lit("\n```\ndone")))\
-        .otherwise(F.concat(F.lit("Here:\n```python\n"), F.col("text")))
-    return d.select("doc_id", T.fenced_code(src).alias("code"))
+    two = F.concat(F.lit("Here:\n```python\nx = "), F.col("doc_id").cast("string"), F.lit("\n```\nthen\n```python\n"),
+                   F.col("text"), F.lit("\n```\ndone"))
+    left_open = F.concat(F.lit("```python\ny\n```\n```python\n"), F.col("text"))
+    src = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("text")).when(F.pmod("doc_id", F.lit(2)) == 0, two).otherwise(left_open)
+    return d.select("doc_id", src.alias("t")).select("doc_id", T.fenced_code("t").alias("code"))
