@@ -68,6 +68,22 @@ def place_masks(item: np.ndarray) -> dict[int, int]:
     return masks
 
 
+def _run_sums(rows: np.ndarray, index: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``rows[index]`` over runs starting at ``first``, the longest run
+    first, and the place of each run's sum. Runs are mostly of one or two rows:
+    all first members are taken at once, then all second ones, and so on."""
+    size = np.diff(np.append(first, len(index)))
+    order = np.argsort(-size, kind="stable")
+    start, size = first[order], size[order]
+    out = rows[index[start]]
+    longer = len(size) - np.cumsum(np.bincount(size))  # by k: runs of more than k members
+    for k in range(1, int(size[0])):
+        out[:longer[k]] += rows[index[start[:longer[k]] + k]]
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return out, place
+
+
 def _block_sums(seqs: list[np.ndarray], weight: np.ndarray):
     """For passages with a weighted word: (text, first word, sum of word rows)."""
     n_blocks = np.array([-(-len(s) // STEP) for s in seqs])
@@ -79,18 +95,20 @@ def _block_sums(seqs: list[np.ndarray], weight: np.ndarray):
     if len(hit) == 0:
         return None
     used, first = np.unique(block, return_index=True)
-    sums = np.add.reduceat(weight[term], first, axis=0)
+    sums, place = _run_sums(weight, term, first)
+    sums = np.concatenate([sums, np.zeros((1, weight.shape[1]), np.float32)])
     # passage p holds blocks p and p + 1 of one text; the last block alone if a text has but one
     text_of = np.searchsorted(at, used, side="right") - 1
     last = np.maximum(at[text_of + 1] - 2, at[text_of])
     passages = np.unique(np.concatenate([np.minimum(used, last), np.maximum(used - 1, at[text_of])]))
     p_text = np.searchsorted(at, passages, side="right") - 1
-    out = np.zeros((len(passages), weight.shape[1]), np.float32)
+    out = None
     for shift in (0, 1):
         want = passages + shift
         i = np.minimum(np.searchsorted(used, want), len(used) - 1)
         ok = (used[i] == want) & (want < at[p_text + 1])
-        out[ok] += sums[i[ok]]
+        part = sums[np.where(ok, place[i], len(place))]  # the last row is 0
+        out = part if out is None else np.add(out, part, out=out)
     return p_text, (passages - at[p_text]) * STEP, out, passages, (block, term, at)
 
 
@@ -152,16 +170,20 @@ def _range_product(weight: np.ndarray, sketch: np.ndarray):
                 if got is None:
                     continue
                 _, _, z, passages, (block, term, at) = got
+                # a block's words get the rows of both passages that hold it
+                used = np.unique(block)
+                padded = np.concatenate([z, np.zeros((1, z.shape[1]), np.float32)])
+                both = None
                 for shift in (0, 1):
-                    i = np.minimum(np.searchsorted(passages, block - shift), len(passages) - 1)
-                    same = np.searchsorted(at, block - shift, side="right") == np.searchsorted(at, block, side="right")
-                    ok = (passages[i] == block - shift) & same
-                    by = np.flatnonzero(ok)
-                    by = by[np.argsort(term[by], kind="stable")]
-                    if len(by):
-                        first = np.flatnonzero(np.diff(term[by], prepend=-1))
-                        t = term[by[first]]
-                        total[t] += weight[t, None] * np.add.reduceat(z[i[by]], first, axis=0)
+                    i = np.minimum(np.searchsorted(passages, used - shift), len(passages) - 1)
+                    same = np.searchsorted(at, used - shift, side="right") == np.searchsorted(at, used, side="right")
+                    part = padded[np.where((passages[i] == used - shift) & same, i, len(z))]
+                    both = part if both is None else np.add(both, part, out=both)
+                by = np.argsort(term, kind="stable")
+                first = np.flatnonzero(np.diff(term[by], prepend=-1))
+                t = term[by[first]]
+                sums, place = _run_sums(both, np.searchsorted(used, block[by]), first)
+                total[t] += weight[t, None] * sums[place]
         some = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(total[some]), pa.list_(pa.float64()))],
                                          names=["slot", "row"])
@@ -235,12 +257,12 @@ def _search(weight: np.ndarray, space: np.ndarray, items: list[np.ndarray], item
                     continue
                 text, first, z, _, _ = got
                 cosine = _unit(z) @ queries.T
-                for p, q in zip(*np.nonzero(cosine >= MIN_COSINE)):
-                    t = int(text[p])
+                at_p, at_q = np.nonzero(cosine >= MIN_COSINE)
+                for p, q, t, start in zip(at_p.tolist(), at_q.tolist(), text[at_p].tolist(), first[at_p].tolist()):
                     n = len(items[q])
-                    near = seqs[t][max(0, int(first[p]) - n):int(first[p]) + PASSAGE + n]
+                    near = seqs[t][max(0, start - n):start + PASSAGE + n]
                     there[near] = True
-                    bound = int(there[items[q]].sum())  # a word that isn't near can't be in the subsequence
+                    bound = np.count_nonzero(there[items[q]])  # a word that isn't near can't be in the subsequence
                     there[near] = False
                     if bound < MIN_LCS * n:
                         continue
@@ -251,7 +273,7 @@ def _search(weight: np.ndarray, space: np.ndarray, items: list[np.ndarray], item
                     m = min(n, ANSWER_WORDS)
                     answer = lcs_length(tails[q], m, near) / m
                     if lcs >= SURE_LCS or answer >= MIN_ANSWER:
-                        found.append((ids[lo + t], item_ids[q], int(first[p]), float(cosine[p, q]), lcs, answer))
+                        found.append((ids[lo + t], item_ids[q], start, float(cosine[p, q]), lcs, answer))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 6,
                                                 [pa.int64()] * 3 + [pa.float64()] * 3)],
