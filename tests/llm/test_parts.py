@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rlframe.llm import bpe, chat, decontam, jaccard, packing, pii, quality, sharding, tokens, warc
@@ -217,3 +218,27 @@ def test_packer_places_each_id_once_without_padding():
 def test_bm25_prefers_the_tail_with_the_rare_tokens():
     tails = [np.array(x, "<u4") for x in ([1, 2, 3, 99, 98], [1, 2, 3, 4, 5], [1, 2, 99, 98, 7], [1, 2, 3, 8, 9])]
     assert packing.Index(tails).neighbours(tails[0]).tolist()[:2] == [0, 2]
+
+
+def test_products_over_passages_equal_dense_matrices():
+    rng = np.random.default_rng(3)
+    n, width = 30, 4
+    weight = np.where(rng.random(n) < 0.5, rng.random(n) + 0.5, 0.0)
+    weight[0] = 0.0
+    sketch = rng.standard_normal((n, width))
+    seqs = [rng.integers(0, n, size).astype(np.int32) for size in (1, 5, 16, 17, 40, 200)] + [np.full(50, 7, np.int32)]
+    dense = []
+    for s in seqs:
+        starts = range(0, max(1, -(-len(s) // decontam.STEP) - 1))
+        for b in starts:
+            row = np.bincount(s[b * decontam.STEP:b * decontam.STEP + decontam.PASSAGE], minlength=n) * weight
+            dense.append(row)
+    a = np.array(dense)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(seqs))), pa.array([s.tobytes() for s in seqs], pa.binary())],
+                                       names=["doc_id", "seq"])
+    for make, want in ((decontam._range_product, a.T @ (a @ sketch)), (decontam._gram_product, (a @ sketch).T @ (a @ sketch))):
+        got = np.zeros(want.shape)
+        for out in make(weight, sketch)([batch]):
+            for slot, row in zip(out.column("slot").to_pylist(), out.column("row").to_pylist()):
+                got[slot] += row
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
