@@ -14,7 +14,7 @@ import re
 from array import array
 
 #: Pieces remembered by a worker in each of two generations (about 200 bytes each).
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 100_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?*%$&#|"
