@@ -168,3 +168,14 @@ def test_pipeline_stages_keep_clean_documents(spark):
     left = [r.text for r in clean.collect()]
     assert not any(pii.base_spans(t) for t in left if t)
     assert C.run(spark, SF).count() > 0
+
+
+def test_model_scores_see_the_order_of_words(spark):
+    words = [f"{a}{b}" for a in ("river", "stone", "cloud", "green", "night") for b in ("fall", "ward", "light", "song")]
+    held = [i for i in range(400) if lm._held(i)]
+    fluent = " ".join(words)
+    mixed = " ".join(np.random.default_rng(3).permutation(words))
+    rows = [(i, mixed if i == held[0] else fluent) for i in range(400)]
+    got = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score < got[held[1]].score - 5
