@@ -7,6 +7,7 @@ parameters; ``ORACLES`` holds DuckDB SQL where SQL can express the result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -108,14 +109,22 @@ def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_id_files(spark, files, with_ids=False)
 
 
+def _arrived(batches):
+    for batch in batches:
+        texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").cast(pa.int64()), pa.array([len(t) + 16 for t in texts], pa.int64()),
+             pa.array([zlib.crc32(t) for t in texts], pa.int64()), batch.column("shard"), batch.column("slot")],
+            names=["doc_id", "size", "text_crc32", "shard", "slot"])
+
+
 @query
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rlframe.llm.sharding import uniform_shards
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"))
-    return uniform_shards(docs, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-                                           F.lit(None).cast("int").alias("grown_shard"))
+    # whole rows are sharded; size and checksum are those of the texts that arrived
+    return uniform_shards(table(spark, sf_dir, "documents"), 40).mapInArrow(
+        _arrived, "doc_id long, size long, text_crc32 long, shard int, slot long").select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query

@@ -3,7 +3,8 @@
 The rows lie in partitions. How many rows each partition sends to each shard
 is drawn from the multivariate hypergeometric law, which is the law of those
 counts under a uniform shuffle; each partition permutes its rows and deals
-them out by its counts; the shards permute what they got. The result is a
+them out by its counts; the shards permute what they got. Permuted are row
+numbers: the rows pass by, so a task holds one batch of them. The result is a
 uniform shuffle whose shard sizes are exact. The matrix has one row per
 partition and one column per shard and is all that the driver holds.
 """
@@ -34,21 +35,30 @@ def communication_matrix(partition_rows: np.ndarray, sizes: np.ndarray, seed: in
     return out
 
 
+#: Low bits of ``monotonically_increasing_id``: the row's number in its partition.
+ROW = (1 << 33) - 1
+
+
 def _deal(matrix: np.ndarray, seed: int):
-    """Permute a partition and deal its rows out; ``_order`` is the random
-    key of the second permutation."""
+    """Deal rows out by their partition and number in it; ``_order`` is the
+    random key of the second permutation."""
     def run(batches):
-        rows = pa.Table.from_batches([b for b in batches])
-        if rows.num_rows == 0:
-            return
-        part = rows.column("_part")[0].as_py()
-        rng = np.random.default_rng([seed, part])
-        order = rng.permutation(rows.num_rows)
-        shard = np.empty(rows.num_rows, np.int32)
-        shard[order] = np.repeat(np.arange(matrix.shape[1], dtype=np.int32), matrix[part])
-        rows = rows.append_column("shard", pa.array(shard)) \
-            .append_column("_order", pa.array(rng.integers(-2**63, 2**63 - 1, rows.num_rows)))
-        yield from rows.to_batches(max_chunksize=10_000)
+        now, shard, key = -1, np.zeros(0, np.int32), np.zeros(0, np.int64)
+        for batch in batches:
+            part, row = batch.column("_part").to_numpy(), batch.column("_uid").to_numpy() & ROW
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if hi == lo:
+                    continue
+                if part[lo] != now:
+                    now, n = int(part[lo]), int(matrix[part[lo]].sum())
+                    rng = np.random.default_rng([seed, now])
+                    order, shard = rng.permutation(n), np.empty(n, np.int32)
+                    shard[order] = np.repeat(np.arange(matrix.shape[1], dtype=np.int32), matrix[now])
+                    key = rng.integers(-2**63, 2**63 - 1, n)
+                at = row[lo:hi]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(shard[at]), pa.array(key[at])],
+                                                 names=[*batch.schema.names, "shard", "_order"])
     return run
 
 
@@ -59,7 +69,7 @@ def uniform_shards(df: DataFrame, shards: int = 40, seed: int = 11) -> DataFrame
     with shard, slot or the operator's own are replaced. With fewer rows than
     shards the last shards are empty; an empty table gives no rows. The draw
     follows the seed and the partitions of the input."""
-    own = ("shard", "slot", "_part", "_uid", "_order", "_at")
+    own = ("shard", "slot", "_part", "_uid", "_order", "_at", "_row")
     keep = [c for c in df.columns if c not in own]
     spark = df.sparkSession
     # numbered while written, so a retried task of a later job sees the same partitions
@@ -74,56 +84,32 @@ def uniform_shards(df: DataFrame, shards: int = 40, seed: int = 11) -> DataFrame
     for p in parts:
         lookup[p] = matrix[place[p]]
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "shard int", "_order long"])
-    deal = _deal(lookup, seed)
 
-    dealt = rows.repartition(max(len(parts), 1), "_part").sortWithinPartitions("_part", "_uid").mapInArrow(_by_part(deal), shape)
+    dealt = rows.mapInArrow(_deal(lookup, seed), shape)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 500_000), 1)
     laid = staged(dealt.repartitionByRange(n, "shard", "_order").sortWithinPartitions("shard", "_order", "_uid")
-                  .withColumn("_at", F.spark_partition_id()), "exchanged")
-    ahead: dict[int, dict[int, int]] = {}
+                  .drop("_part", "_uid", "_order").withColumn("_at", F.spark_partition_id())
+                  .withColumn("_row", F.monotonically_increasing_id()), "exchanged")
+    # a row's slot is its number in the partition plus this
+    ahead: dict[tuple[int, int], int] = {}
     before = np.zeros(shards, np.int64)
+    at, start = -1, 0
     for r in laid.groupBy("_at", "shard").agg(F.count("*").alias("n")).orderBy("_at", "shard").collect():
-        ahead.setdefault(r._at, {})[r.shard] = int(before[r.shard])
+        at, start = r._at, start if r._at == at else 0
+        ahead[r._at, r.shard] = int(before[r.shard]) - start
         before[r.shard] += r.n
-    return laid.repartition(n, "_at").sortWithinPartitions("_at", "shard", "_order", "_uid") \
-        .mapInArrow(_slots(ahead), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.select(*keep).schema),
-                                              "shard int", "slot long"]))
+        start += r.n
+    return laid.mapInArrow(_slots(ahead), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.select(*keep).schema),
+                                                     "shard int", "slot long"]))
 
 
-def _by_part(deal):
-    """Hand each run of equal ``_part`` in a sorted stream to ``deal``."""
+def _slots(ahead: dict[tuple[int, int], int]):
     def run(batches):
-        wait: list[pa.RecordBatch] = []
-        for batch in batches:
-            part = batch.column("_part").to_numpy()
-            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if hi == lo:
-                    continue
-                if wait and wait[-1].column("_part")[0].as_py() != part[lo]:
-                    yield from deal(wait)
-                    wait = []
-                wait.append(batch.slice(lo, hi - lo))
-        if wait:
-            yield from deal(wait)
-    return run
-
-
-def _slots(ahead: dict[int, dict[int, int]]):
-    def run(batches):
-        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
             at, shard = batch.column("_at").to_numpy(), batch.column("shard").to_numpy()
-            slot = np.empty(batch.num_rows, np.int64)
-            change = np.flatnonzero((at[1:] != at[:-1]) | (shard[1:] != shard[:-1])) + 1
-            cuts = [0, *change.tolist(), batch.num_rows]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if hi > lo:
-                    key = (int(at[lo]), int(shard[lo]))
-                    first = seen.get(key, ahead[key[0]][key[1]])
-                    slot[lo:hi] = first + np.arange(hi - lo)
-                    seen[key] = first + hi - lo
-            names = [c for c in batch.schema.names if c not in ("_part", "_uid", "_order", "_at", "shard")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), batch.column("shard"), pa.array(slot)],
+            first = np.fromiter(map(ahead.__getitem__, zip(at.tolist(), shard.tolist())), np.int64, batch.num_rows)
+            names = [c for c in batch.schema.names if c not in ("_at", "_row", "shard")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), batch.column("shard"),
+                                              pa.array(first + (batch.column("_row").to_numpy() & ROW))],
                                              names=[*names, "shard", "slot"])
     return run

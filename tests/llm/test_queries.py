@@ -179,3 +179,34 @@ def test_model_scores_see_the_order_of_words(spark):
     got = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
     assert got[held[0]].score < got[held[1]].score - 5
+
+
+def test_whole_documents_are_sharded(spark, monkeypatch):
+    seen = []
+    real = sharding.uniform_shards
+    monkeypatch.setattr(sharding, "uniform_shards", lambda df, *a, **k: seen.append(df.columns) or real(df, *a, **k))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = E.queries()["op5_hypergeometric_shards"](spark, SF).collect()
+    assert seen == [docs.columns]
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows) == sorted(
+        (r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    whole = real(docs, 3).drop("shard", "slot")
+    assert whole.exceptAll(docs).count() == 0 and whole.count() == docs.count()
+
+
+def test_dealing_streams_long_rows():
+    part = sharding.pa.table({"_part": [4] * 6, "_uid": [(4 << 33) + i for i in range(6)], "text": [str(i) for i in range(6)]})
+    matrix = np.zeros((5, 2), np.int64)
+    matrix[4] = [4, 2]
+    seen = 0
+
+    def rows():
+        nonlocal seen
+        for b in part.to_batches(max_chunksize=2):
+            seen += 1
+            yield b
+
+    out = sharding._deal(matrix, 1)(rows())
+    first = next(out)
+    assert seen == 1 and first.num_rows == 2
+    assert collections.Counter(x for b in [first, *out] for x in b.column("shard").to_pylist()) == {0: 4, 1: 2}
