@@ -82,7 +82,7 @@ def _last_boxed(s: Column) -> Column:
     space_form = F.concat(F.lit("\\boxed "), F.substring_index(F.substring_index(s, "\\boxed ", -1), "$", 1))
     ib = _rfind(s, "\\boxed")
     idx = F.when(ib >= 0, ib).otherwise(_rfind(s, "\\fbox"))
-    rest = s.substr(idx + 1, F.lit(1 << 30))
+    rest = s.substr(idx + 1, F.lit((1 << 31) - 1))
     chars = F.split(rest, "")
     # fold: (depth, end position) -- end = first '}' that closes depth to 0
     st = F.aggregate(
@@ -105,7 +105,7 @@ def remove_boxed(b: str | Column) -> Column:
 
 def _remove_boxed(b: Column) -> Column:
     return (F.when(F.instr(b, "\\boxed ") > 0,
-                   F.when(b.startswith("\\boxed "), b.substr(F.lit(8), F.lit(1 << 30))))
+                   F.when(b.startswith("\\boxed "), b.substr(F.lit(8), F.lit((1 << 31) - 1))))
              .when(b.startswith("\\boxed{") & b.endswith("}"), b.substr(F.lit(8), F.length(b) - 8)))
 
 
@@ -117,7 +117,7 @@ def _fix_sqrt(x: Column) -> Column:
     parts = F.split(x, r"\\sqrt", -1)
     fixed = F.transform(F.slice(parts, 2, 1 << 30), lambda p: F.when(
         F.substring(p, 1, 1) != "{",
-        F.concat(F.lit("\\sqrt{"), F.substring(p, 1, 1), F.lit("}"), F.substring(p, 2, 1 << 30)))
+        F.concat(F.lit("\\sqrt{"), F.substring(p, 1, 1), F.lit("}"), F.substring(p, 2, (1 << 31) - 1)))
         .otherwise(F.concat(F.lit("\\sqrt"), p)))
     out = F.concat(F.element_at(parts, 1), F.array_join(fixed, ""))
     return F.when(F.instr(x, "\\sqrt") > 0, out).otherwise(x)
@@ -130,8 +130,8 @@ def _fix_fracs(x: Column) -> Column:
         F.substring(p, 1, 1) == "{", p).otherwise(F.when(
             F.substring(p, 2, 1) != "{",
             F.concat(F.lit("{"), F.substring(p, 1, 1), F.lit("}{"), F.substring(p, 2, 1), F.lit("}"),
-                     F.substring(p, 3, 1 << 30)))
-        .otherwise(F.concat(F.lit("{"), F.substring(p, 1, 1), F.lit("}"), F.substring(p, 2, 1 << 30))))))
+                     F.substring(p, 3, (1 << 31) - 1)))
+        .otherwise(F.concat(F.lit("{"), F.substring(p, 1, 1), F.lit("}"), F.substring(p, 2, (1 << 31) - 1))))))
     # a short non-brace part makes the reference return the input unchanged
     bail = F.exists(tail, lambda p: (F.substring(p, 1, 1) != "{") & (F.length(p) < 2))
     return F.when(F.size(parts) <= 1, x).when(bail, x).otherwise(F.concat(F.element_at(parts, 1),
@@ -438,7 +438,7 @@ def match_answer(response: str | Column) -> Column:
     def cut_after(v, marker):
         low = F.lower(v)
         i = _rfind(low, marker)
-        rest = py_strip(v.substr(i + len(marker) + 1, F.lit(1 << 30)))
+        rest = py_strip(v.substr(i + len(marker) + 1, F.lit((1 << 31) - 1)))
         rest = F.when(rest.endswith("\n"), rest.substr(F.lit(1), F.length(rest) - 2)).otherwise(rest)
         return F.struct(F.when(i >= 0, rest).otherwise(v).alias("r"), (i >= 0).alias("m"))
 

@@ -15,16 +15,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def prefix_sum(arr: Column, passes: int = 25) -> Column:
+def prefix_sum(arr: Column, passes: int = 31) -> Column:
     """Inclusive prefix sums of a numeric array in O(n log n).
 
-    Hillis-Steele scan: pass k adds the element 2^k positions back. 25
-    passes cover arrays of up to 2^25 elements."""
+    Hillis-Steele scan: pass k adds the element 2^k positions back. 31
+    passes cover every array; those beyond its size leave it as it is."""
     def shifted_add(step):
         # a one-parameter lambda: PySpark reads the arity to pick the
         # (element) or (element, index) form
-        return lambda a: F.transform(
-            a, lambda x, i: F.when(i >= step, x + F.element_at(a, i - step + 1)).otherwise(x))
+        return lambda a: F.when(F.size(a) <= step, a).otherwise(F.transform(
+            a, lambda x, i: F.when(i >= step, x + F.element_at(a, i - step + 1)).otherwise(x)))
 
     out = arr
     for k in range(passes):

@@ -202,10 +202,10 @@ def dynamic_group_filter(df: DataFrame, group: str, metric: str, max_groups: int
 
 def accuracy_band_filter(df: DataFrame, group: str, acc: str, lo: float, hi: float,
                          length: str | None = None, max_len: int | None = None,
-                         keep_ratio: float | None = None, order: str = "idx") -> DataFrame:
+                         keep_ratio: float | None = None, order: str | list[str] = "idx") -> DataFrame:
     """BS-18: flag groups whose mean accuracy is inside [lo, hi] (and, if
     given, with no sample at the length limit); passing groups sort first,
-    then the batch is cut to ``keep_ratio`` of its rows."""
+    then, in ``order`` (one or several columns), the batch is cut to ``keep_ratio`` of its rows."""
     aggs = [F.avg(acc).alias("_a")]
     if length is not None:
         aggs.append(F.max((F.col(length) >= max_len).cast("int")).alias("_trunc"))
@@ -218,7 +218,7 @@ def accuracy_band_filter(df: DataFrame, group: str, acc: str, lo: float, hi: flo
         return d
     n = df.count()
     keep = int(n * keep_ratio)
-    ranked = with_global_index(d, [F.col("passes").desc(), F.col(order)], "_r")
+    ranked = with_global_index(d, [F.col("passes").desc(), *([order] if isinstance(order, str) else order)], "_r")
     return ranked.where(F.col("_r") < keep).drop("_r")
 
 

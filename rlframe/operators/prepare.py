@@ -107,7 +107,7 @@ def sentence_completion_rows(df: DataFrame, activity: str, ctx_a: str, ctx_b: st
     (first letter upper, rest lower), four cleaned endings, integer label;
     unlabeled rows are dropped."""
     b = _c(ctx_b)
-    cap = F.concat(F.upper(F.substring(b, 1, 1)), F.lower(F.substring(b, 2, 1 << 30)))
+    cap = F.concat(F.upper(F.substring(b, 1, 1)), F.lower(F.substring(b, 2, (1 << 31) - 1)))
     ctx = F.concat(_c(activity), F.lit(": "), _c(ctx_a), F.lit(" "), cap)
     d = df.where(F.length(_c(label).cast("string")) > 0)
     return d.select(

@@ -195,8 +195,8 @@ SELECT uid, CAST(sample_idx AS BIGINT) AS sample_idx, passes FROM rk
 WHERE rr < CAST(floor((SELECT count(*) FROM rollouts) * 0.5) AS BIGINT)
 """)
 def accuracy_band_filter(spark, sf_dir):
-    r = AD.rollouts(spark, sf_dir).withColumn("ord", F.col("uid") * 1000 + F.col("sample_idx"))
-    d = B.accuracy_band_filter(r, "uid", "acc", 0.2, 0.8, "response_len", 49, keep_ratio=0.5, order="ord")
+    r = AD.rollouts(spark, sf_dir)
+    d = B.accuracy_band_filter(r, "uid", "acc", 0.2, 0.8, "response_len", 49, keep_ratio=0.5, order=["uid", "sample_idx"])
     return d.select("uid", F.col("sample_idx").cast("bigint"), "passes")
 
 

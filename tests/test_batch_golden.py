@@ -81,3 +81,35 @@ def test_keyed_union_conflict(spark):
     bad = spark.createDataFrame([(1, 2.0, "p"), (2, float("nan"), "q")], "k long, x double, y string")
     with pytest.raises(Exception):
         B.keyed_union(a, bad, ["k"]).collect()
+
+
+def test_accuracy_band_orders_by_both_columns(spark):
+    from pyspark.sql import functions as F
+
+    from rlframe.operators import batch
+    from rlframe.plans import q_batch
+    # 1001 samples of the first prompt come before any of the second
+    rows = [(1, i) for i in range(1500)] + [(2, i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "uid long, sample_idx int").withColumns(
+        {"acc": F.lit(0.5), "response_len": F.lit(1)})
+    real = q_batch.AD.rollouts
+    q_batch.AD.rollouts = lambda *_: df
+    try:
+        got = {(r.uid, r.sample_idx) for r in q_batch.accuracy_band_filter(spark, "").collect()}
+    finally:
+        q_batch.AD.rollouts = real
+    assert got == set(rows[:1500])
+    assert batch.accuracy_band_filter(df, "uid", "acc", 0, 1, keep_ratio=0.5, order="sample_idx").count() == 1500
+
+
+def test_prefix_sums_cover_every_array(spark):
+    import inspect
+
+    from pyspark.sql import functions as F
+
+    from rlframe.functions.util import prefix_sum
+    assert 1 << inspect.signature(prefix_sum).parameters["passes"].default >= 2**31 - 1
+    for n in (0, 1, 2, 3, 1000):
+        got = spark.range(1).select(prefix_sum(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")).alias("s")).first().s
+        assert got == [i * (i + 1) // 2 for i in range(1, n + 1)]
+    assert spark.range(1).select(prefix_sum(F.lit(None).cast("array<int>")).alias("s")).first().s is None
