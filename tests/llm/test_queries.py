@@ -210,3 +210,17 @@ def test_dealing_streams_long_rows():
     first = next(out)
     assert seen == 1 and first.num_rows == 2
     assert collections.Counter(x for b in [first, *out] for x in b.column("shard").to_pylist()) == {0: 4, 1: 2}
+
+
+def test_pipeline_stages_judge_rows_not_ids(spark):
+    import corpus_pipeline as C
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect() if r.text)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, b), (None, item), (7, c), (7, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = C.without_benchmarks(spark, docs, SF)
+    assert sorted(r.text for r in kept.collect()) == [a, b, c] and kept.columns == docs.columns
+    # unrelated rows of one id stay, near copies go, also without an id
+    rows = [(1, a), (2, a + " x"), (2, b), (3, b), (5, c), (5, c), (None, c), (None, item), (None, item)]
+    got = C.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, a), (2, b), (5, c), (0, item)])
