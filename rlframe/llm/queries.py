@@ -160,6 +160,13 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_maximal_pair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every text's words, and the texts without the repeats."""
+    from rlframe.llm.runs import periodic_runs, run_digests, with_planted_tail
+    return run_digests(periodic_runs(with_planted_tail(table(spark, sf_dir, "documents"))))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
