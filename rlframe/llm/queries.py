@@ -167,6 +167,13 @@ def op12_maximal_pair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_planted_tail(table(spark, sf_dir, "documents"))))
 
 
+@query
+def op13_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of quality label 1, from its text alone."""
+    from rlframe.llm.nbsvm import quality_scores
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
