@@ -227,7 +227,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels do not count, and a null doc_id has no label. Rows of one doc_id
     are joined to one row of labels, however often either repeats."""
     votes = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id") \
-        .agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(-1)).alias("_votes"))
+        .agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(-1)).alias("_votes")) \
+        .hint("merge")  # labels grow with the documents: no size at which they are broadcast
     mine = docs.select("doc_id", text_bytes().alias("text")).filter(~held_out())
     return mine.join(votes, "doc_id").select(
         F.xxhash64("doc_id", "text").alias("h"), "text", (F.col("_votes") > 0).alias("good"))
