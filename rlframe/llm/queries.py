@@ -160,6 +160,13 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the 16 leading components of unit variance."""
+    from rlframe.llm.whitening import whitened_vectors
+    return whitened_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_maximal_pair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every text's words, and the texts without the repeats."""
