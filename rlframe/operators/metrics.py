@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rlframe.operators.voting import draw_sizes, majority_moments
+
 
 def _long(row: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:
     """Unpivot metric columns into (metric, value)."""
@@ -62,54 +64,54 @@ def batch_metrics(seqs: DataFrame, tokens: DataFrame, seq: list[str], max_prompt
 
 
 # ------------------------------------------------------------ validation
-def _ns(n: F.Column) -> F.Column:
-    """2, 4, 8, ... below N, then N itself."""
-    pows = F.transform(F.sequence(F.lit(1), F.lit(62)), lambda k: F.pow(F.lit(2.0), k).cast("long"))
-    return F.concat(F.filter(pows, lambda x: x < n), F.array(n.cast("long")))
-
-
 def validation_metrics(long: DataFrame, source: str = "data_source", prompt: str = "prompt",
-                       var: str = "var", value: str = "value") -> DataFrame:
-    """AG-9/AG-10: per (source, prompt, var) mean@N, std@N (population) and
-    best@n / worst@n mean and std for n = 2, 4, ... < N and N, then the
-    mean over prompts per (source, var, metric).
+                       var: str = "var", value: str = "value", vote: str | None = None) -> DataFrame:
+    """AG-9..11: per (source, prompt, var) mean@N, std@N (population) and, for
+    n = 2, 4, ... < N and N, mean and std of best@n and worst@n, and of maj@n
+    if ``vote`` names a column; then the mean over prompts per (source, var, metric).
 
-    best/worst use the exact expectation of the max/min of n draws with
-    replacement instead of a 1000-draw bootstrap:
+    All are exact expectations over n draws with replacement, no random stream:
     P(max <= x_(i)) = (i/N)^n, so E[max] = sum_i x_(i) ((i/N)^n - ((i-1)/N)^n),
-    computed from the histogram of values per group (ties collapse)."""
+    from the histogram of values per group (ties collapse); n = 1 gives mean and
+    std. The law of the majority vote is in :mod:`rlframe.operators.voting`.
+    Values are measured from the group's smallest, so a std of close values
+    far from 0 keeps its digits. Null values are left out."""
     g = [source, prompt, var]
-    basic = long.groupBy(*g).agg(F.count(F.lit(1)).alias("_gn"), F.avg(value).alias("_mean"),
-                                 F.stddev_pop(value).alias("_std"))
-    hist = long.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*g).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    hist = hist.join(basic.select(*g, "_gn"), g).where(F.col("_gn") > 1)
-    hist = hist.withColumn("_k", F.explode(_ns(F.col("_gn"))))
-    N = F.col("_gn").cast("double")
-    n = F.col("_k").cast("double")
-    pmax = F.pow(F.col("_hi") / N, n) - F.pow(F.col("_lo") / N, n)
-    pmin = F.pow((F.col("_gn") - F.col("_lo")) / N, n) - F.pow((F.col("_gn") - F.col("_hi")) / N, n)
-    v = F.col(value).cast("double")
-    ex = hist.groupBy(*g, "_k").agg(
-        F.sum(v * pmax).alias("bm"), F.sum(v * v * pmax).alias("bm2"),
-        F.sum(v * pmin).alias("wm"), F.sum(v * v * pmin).alias("wm2"))
+    hist = long.where(F.col(value).isNotNull()).groupBy(*g, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*g).orderBy("_v")
+    upto = whole.rowsBetween(Window.unboundedPreceding, 0)
+    all_ = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hist = hist.select(*g, "_c", F.sum("_c").over(upto).alias("_hi"), F.sum("_c").over(all_).alias("_n"),
+                       F.first("_v").over(all_).alias("_base"), "_v")
+    sizes = F.concat(F.array(F.lit(1).cast("long")), F.coalesce(draw_sizes(F.col("_n")), F.array().cast("array<long>")))
+    d = hist.withColumn("_k", F.explode(sizes))
+    share = lambda x: F.pow(x / F.col("_n").cast("double"), F.col("_k").cast("double"))
+    lo = F.col("_hi") - F.col("_c")
+    pmax = share(F.col("_hi")) - share(lo)
+    pmin = share(F.col("_n") - lo) - share(F.col("_n") - F.col("_hi"))
+    v = F.col("_v") - F.col("_base")
+    per = d.groupBy(*g, "_k").agg(F.first("_n").alias("_n"), F.first("_base").alias("_base"),
+                                  *[F.sum(x * p).alias(name) for name, x, p in (("b1", v, pmax), ("b2", v * v, pmax),
+                                                                                ("w1", v, pmin), ("w2", v * v, pmin))])
     sd = lambda m, m2: F.sqrt(F.greatest(F.col(m2) - F.col(m) * F.col(m), F.lit(0.0)))
-    ex = ex.select(*g, "_k", F.col("bm").alias("best_mean"), sd("bm", "bm2").alias("best_std"),
-                   F.col("wm").alias("worst_mean"), sd("wm", "wm2").alias("worst_std"))
-    nstr = F.col("_k").cast("string")
-    per_prompt = _long(ex.select(*g, nstr.alias("ns"), "best_mean", "best_std", "worst_mean", "worst_std"),
-                       ["best_mean", "best_std", "worst_mean", "worst_std"], g + ["ns"])
-    kind = F.regexp_extract("metric", r"^(best|worst)_(mean|std)$", 1)
-    stat = F.regexp_extract("metric", r"^(best|worst)_(mean|std)$", 2)
-    per_prompt = per_prompt.select(*g, F.concat(kind, F.lit("@"), F.col("ns"), F.lit("/"), stat).alias("metric"),
-                                   "value")
-    nN = F.col("_gn").cast("string")
-    mean_rows = basic.select(*g, F.concat(F.lit("mean@"), nN).alias("metric"), F.col("_mean").alias("value"))
-    std_rows = basic.where(F.col("_gn") > 1).select(*g, F.concat(F.lit("std@"), nN).alias("metric"),
-                                                  F.col("_std").alias("value"))
-    allm = mean_rows.unionByName(std_rows).unionByName(per_prompt)
-    return allm.groupBy(source, var, "metric").agg(F.avg("value").alias("value"))
+    # means over prompts first, names on the few rows that are left
+    mean = per.groupBy(source, var, "_k", F.when(F.col("_k") == 1, F.col("_n")).alias("_of")).agg(
+        F.avg(F.col("_base") + F.col("b1")).alias("best_mean"), F.avg(sd("b1", "b2")).alias("best_std"),
+        F.avg(F.col("_base") + F.col("w1")).alias("worst_mean"), F.avg(sd("w1", "w2")).alias("worst_std"))
+    one = F.col("_k") == 1
+    named = lambda kind, n, stat, x: F.struct(F.concat(F.lit(kind), n.cast("string"), F.lit(stat)).alias("metric"), F.col(x).alias("value"))
+    k = F.col("_k")
+    rows = F.when(one & (F.col("_of") > 1), F.array(named("mean@", F.col("_of"), "", "best_mean"), named("std@", F.col("_of"), "", "best_std"))) \
+        .when(one, F.array(named("mean@", F.col("_of"), "", "best_mean"))) \
+        .otherwise(F.array(*[named(f"{kind}@", k, f"/{stat}", f"{kind}_{stat}") for kind in ("best", "worst") for stat in ("mean", "std")]))
+    out = mean.select(source, var, F.explode(rows).alias("_m")).select(source, var, "_m.metric", "_m.value")
+    if vote is None:
+        return out
+    maj = majority_moments(long.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double")),
+                           [source, prompt], var, vote, value)
+    maj = maj.groupBy(source, var, "n").agg(F.avg("maj_mean").alias("mean"), F.avg("maj_std").alias("std"))
+    both = F.explode(F.array(*[named("maj@", F.col("n"), f"/{stat}", stat) for stat in ("mean", "std")]))
+    return out.unionByName(maj.select(source, var, both.alias("_m")).select(source, var, "_m.metric", "_m.value"))
 
 
 def majority_vote(df: DataFrame, group: list[str], vote: str, val: str, order: str) -> DataFrame:
@@ -122,112 +124,6 @@ def majority_vote(df: DataFrame, group: list[str], vote: str, val: str, order: s
                                    F.max_by(F.col("_v"), rank).alias("maj_value"))
 
 
-def validation_metrics_bootstrap(df: DataFrame, source: str, prompt: str, vars_: list[str],
-                                 pred: str | None = "pred", seed: int = 42, n_bootstrap: int = 1000,
-                                 order: str | None = None) -> DataFrame:
-    """AG-9..11 with the reference's seeded bootstrap (bit-parity mode).
-
-    Each (source, prompt) group runs in ``applyInPandas``: numpy reseeds
-    with ``seed`` before every bootstrap, exactly as the reference, so the
-    draws depend only on the group size. A group is one prompt's sampled
-    responses. Output is per prompt; average with :func:`prompt_mean`.
-    """
-    import numpy as np
-
-    cols = [source, prompt] + vars_ + ([pred] if pred else []) + ([order] if order else [])
-    schema = f"{source} string, {prompt} string, var string, metric string, value double"
-    keys = [source, prompt]
-
-    def run_many(groups: list) -> list:
-        """Groups of equal size share one draw matrix, so their bootstraps
-        run as one array computation."""
-        by_size: dict = {}
-        for g in groups:
-            by_size.setdefault(len(g), []).append(g)
-        rows = []
-        for N, gs in by_size.items():
-            meta = [(g[source].iloc[0], g[prompt].iloc[0]) for g in gs]
-            if preds_needed:
-                codes_all = [pd.factorize(g[pred].astype(str), sort=False)[0] for g in gs]
-            for var in vars_:
-                V = np.array([g[var].astype(float).to_numpy() for g in gs])          # (G, N)
-                out = {f"mean@{N}": V.mean(axis=1)}
-                if N > 1:
-                    out[f"std@{N}"] = V.std(axis=1)
-                    ns, n = [], 2
-                    while n < N:
-                        ns.append(n)
-                        n *= 2
-                    ns.append(N)
-                    for n in ns:
-                        idx = _draws(N, n, seed, n_bootstrap)                      # (B, n)
-                        S = V[:, idx]                                              # (G, B, n)
-                        mx, mn = S.max(axis=2), S.min(axis=2)
-                        out[f"best@{n}/mean"], out[f"best@{n}/std"] = mx.mean(axis=1), mx.std(axis=1)
-                        out[f"worst@{n}/mean"], out[f"worst@{n}/std"] = mn.mean(axis=1), mn.std(axis=1)
-                        if preds_needed:
-                            mj = np.empty((len(gs), n_bootstrap))
-                            for gi, codes in enumerate(codes_all):
-                                pc = codes[idx]
-                                k = int(codes.max()) + 1
-                                onehot = pc[:, :, None] == np.arange(k)[None, None, :]
-                                cnt = onehot.sum(axis=1)
-                                first = np.where(onehot.any(axis=1), onehot.argmax(axis=1), n)
-                                top = cnt == cnt.max(axis=1, keepdims=True)
-                                win_pos = np.where(top, first, n + 1).min(axis=1)
-                                mj[gi] = V[gi][idx[np.arange(n_bootstrap), win_pos]]
-                            out[f"maj@{n}/mean"], out[f"maj@{n}/std"] = mj.mean(axis=1), mj.std(axis=1)
-                for metric, arr in out.items():
-                    rows += [(m[0], m[1], var, metric, float(x)) for m, x in zip(meta, arr)]
-        return rows
-
-    preds_needed = pred is not None
-    out_cols = [source, prompt, "var", "metric", "value"]
-
-    def per_partition(batches):
-        # rows arrive hash-partitioned and sorted by key: cut each Arrow
-        # batch at key changes and hold back the trailing group until the
-        # next batch shows where it ends
-        carry = None
-        for pdf in batches:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            k = pdf[keys].astype(str).agg("\x1f".join, axis=1)
-            last = k.iloc[-1]
-            tail = (k == last).to_numpy()
-            carry = pdf[tail]
-            done = pdf[~tail]
-            if len(done):
-                yield pd.DataFrame(run_many([g for _, g in done.groupby(keys, sort=False)]), columns=out_cols)
-        if carry is not None and len(carry):
-            yield pd.DataFrame(run_many([carry]), columns=out_cols)
-
-    # draws pick samples by position, so each group must arrive in sample
-    # order (``order``), as the reference's per-prompt lists do
-    return (df.select(*cols).repartition(*keys).sortWithinPartitions(*keys, *([order] if order else []))
-              .mapInPandas(per_partition, schema))
-
-
-_DRAWS: dict = {}
-
-
-def _draws(N: int, n: int, seed: int, n_bootstrap: int):
-    """Bootstrap indices depend only on (N, n, seed): computed once per
-    Python worker and reused for every group of that size."""
-    import numpy as np
-    key = (N, n, seed, n_bootstrap)
-    if key not in _DRAWS:
-        np.random.seed(seed)
-        _DRAWS[key] = np.random.randint(0, N, size=(n_bootstrap, n))
-    return _DRAWS[key]
-
-
-def prompt_mean(per_prompt: DataFrame, source: str = "data_source", var: str = "var") -> DataFrame:
-    return per_prompt.groupBy(source, var, "metric").agg(F.avg("value").alias("value"))
-
-
 def metric_labels(metrics: DataFrame, source: str = "data_source", var: str = "var") -> DataFrame:
     """AG-12: val-core for the core variable (acc if present, else reward)
     and mean/maj/best metrics at the largest n; everything else val-aux."""
@@ -243,25 +139,6 @@ def metric_labels(metrics: DataFrame, source: str = "data_source", var: str = "v
     return d.select(F.concat_ws("/", sec, F.col(source), F.col(var), F.col("metric")).alias("name"), "value")
 
 
-def pairwise_rank_accuracy(df: DataFrame, group: str, score: str, acc: str, order: str) -> DataFrame:
-    """AG-14 for 0/1 accuracy, without materialising pairs.
-
-    Over pairs i<j (by ``order``) with different acc, a pair is right when the
-    higher-acc sample also ranks higher by (score, order). So the weighted
-    hits are, for every acc=1 sample, the number of acc=0 samples before it
-    in (score, order) sort order; the weight total is n1*n0. Groups with
-    no acc difference score 0.5; the result is the mean over groups.
-    """
-    w = Window.partitionBy(group).orderBy(score, order).rowsBetween(Window.unboundedPreceding, -1)
-    d = df.withColumn("_z_before", F.coalesce(F.sum(F.lit(1) - F.col(acc)).over(w), F.lit(0)))
-    per = d.groupBy(group).agg(
-        F.sum(F.when(F.col(acc) == 1, F.col("_z_before")).otherwise(0)).alias("_hit"),
-        F.sum(F.col(acc)).alias("_n1"), F.sum(F.lit(1) - F.col(acc)).alias("_n0"))
-    tot = F.col("_n1") * F.col("_n0")
-    g = per.select(group, F.when(tot == 0, F.lit(0.5)).otherwise(F.col("_hit") / tot).alias("rank_acc"))
-    return g
-
-
 def sign_agreement(df: DataFrame, score: str, acc: str) -> DataFrame:
     """AG-15: mean of sign(score) == sign(2*acc - 1)."""
     return df.agg(F.avg((F.signum(score) == F.signum(F.col(acc) * 2 - 1)).cast("double")).alias("abs_acc"))

@@ -6,21 +6,58 @@ from pyspark.sql import functions as F
 
 from rlframe.operators import losses as L
 from rlframe.operators import metrics as M
+from rlframe.operators import ranking as RK
 from rlframe.plans.registry import R6, query, r6
 from rlframe.sources import adapters as AD
+from rlframe.sources.tables import table
 
 _RO = AD.sql_with(rollouts=AD.ROLLOUTS_SQL)
+_RO_R = _RO.replace("WITH ", "WITH RECURSIVE ", 1)
 _TK = AD.sql_with(tokens=AD.TOKENS_SQL)
 
 
 def _long_rollouts(spark, sf_dir):
-    r = AD.rollouts(spark, sf_dir)
+    r = AD.rollouts(spark, sf_dir, numbered=False)
     st = F.explode(F.array(F.struct(F.lit("score").alias("var"), F.col("score").alias("value")),
                            F.struct(F.lit("acc").alias("var"), F.col("acc").alias("value"))))
-    return r.select("data_source", "prompt", st.alias("_s")).select("data_source", "prompt", "_s.*")
+    return r.select("data_source", "prompt", "pred", "turns", st.alias("_s")).select("data_source", "prompt", "pred", "turns", "_s.*")
+
+
+def _maj_sql(vote: str) -> str:
+    """maj@n by enumeration: every sequence of n vote classes of every
+    composition of class sizes, with its probability and its winner."""
+    return f"""
+, vs AS (SELECT data_source, prompt, {vote} AS vote, 'score' AS var, score AS value FROM rollouts
+         UNION ALL SELECT data_source, prompt, {vote}, 'acc', acc FROM rollouts)
+, cls AS (SELECT data_source, prompt, var, vote, count(*) AS m, avg(value) AS m1, avg(value * value) AS m2 FROM vs GROUP BY ALL)
+, comp AS (SELECT data_source, prompt, var, list(m ORDER BY m) AS sizes, sum(m) AS gn FROM cls GROUP BY ALL)
+, shapes AS (SELECT DISTINCT sizes, CAST(gn AS BIGINT) AS gn FROM comp WHERE gn > 1)
+, seqs AS (
+    SELECT sizes, gn, CAST(0 AS BIGINT) AS n, list_transform(sizes, lambda x: CAST(0 AS BIGINT)) AS cnt,
+           list_transform(sizes, lambda x: CAST(0 AS BIGINT)) AS seen, CAST(1 AS DOUBLE) AS w FROM shapes
+    UNION ALL
+    SELECT s.sizes, s.gn, s.n + 1,
+           list_transform(s.cnt, lambda x, i: CASE WHEN i = c.c THEN x + 1 ELSE x END),
+           list_transform(s.seen, lambda x, i: CASE WHEN i = c.c AND x = 0 THEN s.n + 1 ELSE x END),
+           s.w * s.sizes[c.c] / s.gn
+    FROM seqs s JOIN (SELECT unnest(range(1, 9)) AS c) c ON c.c <= len(s.sizes) WHERE s.n < s.gn)
+, keyed AS (SELECT sizes, gn, n, w, list_transform(cnt, lambda x, i: x * 1000 - seen[i]) AS k FROM seqs
+            WHERE n = gn OR n IN (2, 4, 8, 16))
+, wins AS (SELECT sizes, n, list_position(k, list_max(k)) AS c, sum(w) AS p FROM keyed WHERE n > 1 GROUP BY ALL)
+, law AS (SELECT s.sizes, u.n, s.sizes[i.c] AS m, avg(coalesce(wins.p, 0)) AS p
+          FROM (SELECT DISTINCT sizes FROM shapes) s JOIN (SELECT unnest(range(1, 9)) AS c) i ON i.c <= len(s.sizes)
+          JOIN (SELECT DISTINCT sizes, n FROM wins) u ON u.sizes = s.sizes
+          LEFT JOIN wins ON wins.sizes = s.sizes AND wins.n = u.n AND wins.c = i.c GROUP BY ALL)
+, mj AS (SELECT cls.data_source, cls.prompt, cls.var, law.n, sum(law.p * m1) AS mm, sum(law.p * m2) AS mq
+         FROM cls JOIN comp USING (data_source, prompt, var) JOIN law ON law.sizes = comp.sizes AND law.m = cls.m
+         GROUP BY ALL)
+, mja AS (SELECT data_source, var, 'maj@' || n || '/mean' AS metric, avg(mm) AS value FROM mj GROUP BY data_source, var, n
+          UNION ALL SELECT data_source, var, 'maj@' || n || '/std', avg(sqrt(greatest(mq - mm * mm, 0.0)))
+          FROM mj GROUP BY data_source, var, n)
+"""
 
 
-_VAL = _RO + f"""
+_VAL = _RO_R + _maj_sql("pred") + f"""
 , lg AS (SELECT data_source, prompt, 'score' AS var, score AS value FROM rollouts
          UNION ALL SELECT data_source, prompt, 'acc' AS var, acc AS value FROM rollouts)
 , basic AS (SELECT data_source, prompt, var, count(*) AS gn, avg(value) AS m, stddev_pop(value) AS s FROM lg GROUP BY ALL)
@@ -43,13 +80,13 @@ _VAL = _RO + f"""
            UNION ALL SELECT data_source, prompt, var, 'best@' || k || '/std', sqrt(greatest(bm2 - bm * bm, 0.0)) FROM ex
            UNION ALL SELECT data_source, prompt, var, 'worst@' || k || '/mean', wm FROM ex
            UNION ALL SELECT data_source, prompt, var, 'worst@' || k || '/std', sqrt(greatest(wm2 - wm * wm, 0.0)) FROM ex)
-, vm AS (SELECT data_source, var, metric, avg(value) AS value FROM allm GROUP BY ALL)
+, vm AS (SELECT data_source, var, metric, avg(value) AS value FROM allm GROUP BY ALL UNION ALL SELECT * FROM mja)
 """
 
 
 @query("validation_metrics", _VAL + f"SELECT data_source, var, metric, {R6('value')} AS value FROM vm")
 def validation_metrics(spark, sf_dir):
-    vm = M.validation_metrics(_long_rollouts(spark, sf_dir))
+    vm = M.validation_metrics(_long_rollouts(spark, sf_dir), vote="pred")
     return vm.select("data_source", "var", "metric", r6("value").alias("value"))
 
 
@@ -64,11 +101,18 @@ SELECT CASE WHEN var = (CASE WHEN has_acc = 1 THEN 'acc' ELSE 'reward' END)
 FROM nm JOIN mx USING (data_source, var) JOIN ha USING (data_source)
 """)
 def metric_labels(spark, sf_dir):
-    vm = M.validation_metrics(_long_rollouts(spark, sf_dir))
+    vm = M.validation_metrics(_long_rollouts(spark, sf_dir), vote="pred")
     lab = M.metric_labels(vm)
     return lab.select("name", r6("value").alias("value"))
 
 
+@query("majority_at_n", _RO_R + _maj_sql("turns") + f"SELECT data_source, var, metric, {R6('value')} AS value FROM mja")
+def majority_at_n(spark, sf_dir):
+    """maj@n alone, with up to four vote classes a prompt."""
+    vm = M.validation_metrics(_long_rollouts(spark, sf_dir), vote="turns").where(F.col("metric").startswith("maj@"))
+    return vm.select("data_source", "var", "metric", r6("value").alias("value"))
+
+
 @query("majority_vote", _RO + """
 , cls AS (SELECT data_source, prompt, pred, count(*) AS n, min(sample_idx) AS f, arg_min(acc, sample_idx) AS v
           FROM rollouts GROUP BY ALL)
@@ -80,15 +124,6 @@ def majority_vote(spark, sf_dir):
     return M.majority_vote(r, ["data_source", "prompt"], "pred", "acc", "sample_idx")
 
 
-@query("validation_metrics_bootstrap")
-def validation_metrics_bootstrap(spark, sf_dir):
-    """Seeded-bootstrap parity mode (no SQL oracle: numpy's random stream)."""
-    r = AD.rollouts(spark, sf_dir)
-    per = M.validation_metrics_bootstrap(r, "data_source", "prompt", ["score", "acc"], pred="pred",
-                                         order="sample_idx")
-    return M.prompt_mean(per).select("data_source", "var", "metric", r6("value").alias("value"))
-
-
 @query("pairwise_rank_acc", _RO + f"""
 , pr AS (SELECT a.uid, abs(a.acc - b.acc) AS w,
                 CAST((a.score - b.score > 0) = (a.acc - b.acc > 0) AS DOUBLE) AS hit
@@ -98,10 +133,38 @@ SELECT r.uid, {R6('coalesce(g.rank_acc, 0.5)')} AS rank_acc FROM (SELECT DISTINC
 """)
 def pairwise_rank_acc(spark, sf_dir):
     r = AD.rollouts(spark, sf_dir)
-    g = M.pairwise_rank_accuracy(r, "uid", "score", "acc", "sample_idx")
+    g = RK.pairwise_rank_accuracy(r, "uid", "score", "acc", "sample_idx")
     return g.select("uid", r6("rank_acc").alias("rank_acc"))
 
 
+_GRADED = """
+WITH o AS (SELECT l_suppkey AS grp, l_quantity / 50.0 AS acc,
+                  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount, l_orderkey * 10 + l_linenumber, l_quantity) AS rk FROM lineitem)
+, pr AS (SELECT a.grp, sum(abs(a.acc - b.acc)) AS w, sum(greatest(b.acc - a.acc, 0)) AS hit
+         FROM o a JOIN o b ON a.grp = b.grp AND a.rk < b.rk GROUP BY a.grp)
+, g AS (SELECT grp, CASE WHEN coalesce(w, 0) = 0 THEN 0.5 ELSE hit / w END AS rank_acc
+        FROM (SELECT DISTINCT grp FROM o) LEFT JOIN pr USING (grp))
+"""
+
+
+def _graded(spark, sf_dir):
+    """Accuracies in 50 grades and tied scores, a few hundred samples a group."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("grp"), F.col("l_discount").alias("score"), (F.col("l_quantity") / 50.0).alias("acc"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return RK.pairwise_rank_accuracy(li, "grp", "score", "acc", "pos")
+
+
+@query("pairwise_rank_graded", _GRADED + f"SELECT grp, {R6('rank_acc')} AS rank_acc FROM g")
+def pairwise_rank_graded(spark, sf_dir):
+    return _graded(spark, sf_dir).select("grp", r6("rank_acc").alias("rank_acc"))
+
+
+@query("pairwise_rank_mean", _GRADED + f"SELECT {R6('avg(rank_acc)')} AS rank_acc FROM g")
+def pairwise_rank_mean(spark, sf_dir):
+    return RK.rank_accuracy_mean(_graded(spark, sf_dir)).select(r6("rank_acc").alias("rank_acc"))
+
+
 @query("sign_agreement", _RO + f"""
 SELECT {R6('avg(CAST(sign(score - 0.05) = sign(acc * 2 - 1) AS DOUBLE))')} AS abs_acc FROM rollouts
 """)

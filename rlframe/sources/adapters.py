@@ -20,12 +20,17 @@ from rlframe.sources.tables import table
 
 
 # ---------------------------------------------------------------- rollouts
-def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rollout_row from lineitem: one row per sampled response."""
+def rollouts(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    """rollout_row from lineitem: one row per sampled response.
+
+    Without ``numbered`` there is no sample_idx, and no sort for it."""
     from rlframe.operators.batch import rank_within
-    li = rank_within(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"],
-                     "_sidx")
-    return li.select(
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_discount", "l_quantity", "l_linestatus")
+    if numbered:
+        li = rank_within(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "_sidx")
+    out = li if numbered else li.withColumn("_sidx", F.lit(None).cast("int"))
+    out = out.select(
         F.col("l_returnflag").alias("data_source"),
         F.col("l_orderkey").alias("uid"),
         F.col("_sidx").alias("sample_idx"),
@@ -37,6 +42,7 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("int").alias("response_len"),
         (F.pmod(F.col("l_partkey"), F.lit(4)) + 1).cast("int").alias("turns"),
     )
+    return out if numbered else out.drop("sample_idx")
 
 
 ROLLOUTS_SQL = """
@@ -59,7 +65,8 @@ FROM lineitem
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token_row from events: one sequence per user, one token per event."""
     from rlframe.operators.batch import rank_within
-    ev = rank_within(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "_pos")
+    source = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type")
+    ev = rank_within(source, ["user_id"], ["ts", "event_id"], "_pos")
     return ev.select(
         F.col("user_id").alias("uid"),
         F.pmod(F.col("user_id"), F.lit(16)).alias("grp"),

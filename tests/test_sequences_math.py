@@ -120,17 +120,3 @@ def test_resubmission_reward(spark):
     df = spark.createDataFrame([(1, 0, 1.0), (1, 1, 0.0), (1, 2, 1.0)], "s long, t long, score double")
     out = [r.tool_reward for r in resubmit_rewards(df, "s", "t", "score").orderBy("t").collect()]
     assert out == [0.0, -0.05, 0.0]
-
-
-def test_bootstrap_parity_mode(spark):
-    import numpy as np
-    vals = [0.3, 0.9, 0.1, 0.5, 0.7]
-    df = spark.createDataFrame([("s", "p", i, v, "x" if v > 0.4 else "y") for i, v in enumerate(vals)],
-                               "data_source string, prompt string, i int, score double, pred string")
-    got = {r.metric: r.value for r in
-           ME.validation_metrics_bootstrap(df, "data_source", "prompt", ["score"], pred="pred", order="i").collect()}
-    # seeded bootstrap of the max over n=4 draws, 1000 times, one draw per call
-    np.random.seed(42)
-    mx = [max(vals[j] for j in np.random.choice(len(vals), size=4, replace=True)) for _ in range(1000)]
-    assert got["best@4/mean"] == pytest.approx(float(np.mean(mx)))
-    assert got["best@4/std"] == pytest.approx(float(np.std(mx)))
