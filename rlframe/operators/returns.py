@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rlframe.operators.aggregates import masked_whiten
-from rlframe.operators.scan import last_position, lead_next, reverse_linear_scan
+from rlframe.operators.scan import position_span, lead_next, reverse_linear_scan
 
 
 def discounted_return(tokens: DataFrame, seq: list[str], gamma: float, pos: str = "pos",
@@ -27,19 +27,19 @@ def discounted_return(tokens: DataFrame, seq: list[str], gamma: float, pos: str
     is 0 (G_t = r_t + gamma * mask_{t+1} * G_{t+1}).
     """
     m = F.col(mask)
-    top = last_position(tokens, pos)
+    span = position_span(tokens, pos)
     if variant == "agent":
         d = tokens.withColumn("_a", F.when(m == 1, F.lit(float(gamma))).otherwise(F.lit(1.0))) \
                   .withColumn("_bb", F.when(m == 1, F.col(reward)).otherwise(F.lit(0.0)))
-        d = reverse_linear_scan(d, seq, pos, "_a", "_bb", "_g", chunk=chunk, top=top)
+        d = reverse_linear_scan(d, seq, pos, "_a", "_bb", "_g", chunk=chunk, span=span)
         return d.withColumn(out, F.when(m == 1, F.col("_g")).otherwise(F.lit(0.0))).drop("_a", "_bb", "_g")
     if variant == "framework":
         # H_t = mask_t * G_t follows H_t = mask_t r_t + gamma mask_t H_{t+1};
         # then G_t = r_t + gamma * H_{t+1}.
         d = tokens.withColumn("_a", (F.lit(float(gamma)) * m).cast("double")) \
                   .withColumn("_bb", (m * F.col(reward)).cast("double"))
-        d = reverse_linear_scan(d, seq, pos, "_a", "_bb", "_h", chunk=chunk, top=top)
-        d = lead_next(d, seq, pos, "_h", "_hn", chunk=chunk, top=top)
+        d = reverse_linear_scan(d, seq, pos, "_a", "_bb", "_h", chunk=chunk, span=span)
+        d = lead_next(d, seq, pos, "_h", "_hn", chunk=chunk, span=span)
         return d.withColumn(out, F.col(reward) + F.lit(float(gamma)) * F.coalesce(F.col("_hn"), F.lit(0.0))) \
                 .drop("_a", "_bb", "_h", "_hn")
     raise ValueError(variant)
@@ -73,26 +73,26 @@ def gae(tokens: DataFrame, seq: list[str], gamma: float, lam: float, variant: st
     there); framework: the next token. returns = A + V; advantages are
     A whitened over the mask (not re-masked), as in the reference.
     """
-    top = last_position(tokens, pos)
+    span = position_span(tokens, pos)
     m = F.col(mask)
     g, gl = float(gamma), float(gamma) * float(lam)
     if variant == "agent":
         # y_t = value of the first action token at or after t
         d = tokens.withColumn("_ya", F.when(m == 1, F.lit(0.0)).otherwise(F.lit(1.0))) \
                   .withColumn("_yb", F.when(m == 1, F.col(value)).otherwise(F.lit(0.0)))
-        d = reverse_linear_scan(d, seq, pos, "_ya", "_yb", "_y", chunk=chunk, top=top)
-        d = lead_next(d, seq, pos, "_y", "_vn", chunk=chunk, top=top)
+        d = reverse_linear_scan(d, seq, pos, "_ya", "_yb", "_y", chunk=chunk, span=span)
+        d = lead_next(d, seq, pos, "_y", "_vn", chunk=chunk, span=span)
         delta = F.col(reward) + F.lit(g) * F.coalesce(F.col("_vn"), F.lit(0.0)) - F.col(value)
         d = d.withColumn("_aa", F.when(m == 1, F.lit(gl)).otherwise(F.lit(1.0))) \
              .withColumn("_ab", F.when(m == 1, delta).otherwise(F.lit(0.0)))
-        d = reverse_linear_scan(d, seq, pos, "_aa", "_ab", "_A", chunk=chunk, top=top)
+        d = reverse_linear_scan(d, seq, pos, "_aa", "_ab", "_A", chunk=chunk, span=span)
         d = d.withColumn("_A", F.when(m == 1, F.col("_A")).otherwise(F.lit(0.0)))
         d = d.drop("_ya", "_yb", "_y", "_vn", "_aa", "_ab")
     elif variant == "framework":
-        d = lead_next(tokens, seq, pos, value, "_vn", chunk=chunk, top=top)
+        d = lead_next(tokens, seq, pos, value, "_vn", chunk=chunk, span=span)
         delta = F.col(reward) + F.lit(g) * F.coalesce(F.col("_vn"), F.lit(0.0)) - F.col(value)
         d = d.withColumn("_aa", F.lit(gl)).withColumn("_ab", delta)
-        d = reverse_linear_scan(d, seq, pos, "_aa", "_ab", "_A", chunk=chunk, top=top)
+        d = reverse_linear_scan(d, seq, pos, "_aa", "_ab", "_A", chunk=chunk, span=span)
         d = d.drop("_vn", "_aa", "_ab")
     else:
         raise ValueError(variant)

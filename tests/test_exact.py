@@ -69,3 +69,34 @@ def test_answer_spans_and_numbers(spark):
     assert got == [(True, "7"), (True, "7"), (True, r"5 \boxed{} 3")]
     pair = spark.createDataFrame([("1{,}000", "1000"), ("1,000", "1000"), ("x", "1")], "a string, b string")
     assert [r[0] for r in pair.select(mathans.numeric_close("a", "b")).collect()] == [True, True, False]
+
+
+def test_scan_of_negative_positions(spark):
+    """Chunks are numbered from the smallest position, so none is lost at 0."""
+    for chunk in (2, 3, 4096):
+        d = spark.createDataFrame([("k", p, 1.0, 1.0, float(p)) for p in range(-5, 6)], "k string, pos int, a double, b double, v double")
+        got = {r.pos: r.x for r in scan.reverse_linear_scan(d, ["k"], "pos", "a", "b", "x", chunk=chunk).collect()}
+        assert got == {p: 6.0 - p for p in range(-5, 6)}
+        nxt = {r.pos: r.n for r in scan.lead_next(d, ["k"], "pos", "v", "n", chunk=chunk).collect()}
+        assert nxt == {p: float(p + 1) if p < 5 else None for p in range(-5, 6)}
+
+
+def test_backward_pass_equals_a_loop_over_batches():
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(8)
+    n = 3000
+    first = rng.random(n) < 0.02
+    first[0] = True
+    a, b = rng.normal(size=n), rng.normal(size=n)
+    t = pa.table({"_scan_a": a, "_scan_b": b, "_row": np.where(first, 1, 2)})
+    got = pa.Table.from_batches(list(scan._backward(t.to_batches(max_chunksize=7))))
+    local, opened = 0.0, None
+    for i in range(n):
+        if first[i]:
+            local, opened = 0.0, None
+        assert got["_local_next"][i].as_py() == (None if opened is None else pytest.approx(local, abs=1e-9))
+        assert got["_open_next"][i].as_py() == (None if opened is None else pytest.approx(opened, abs=1e-9))
+        local, opened = b[i] + a[i] * local, a[i] * (1.0 if opened is None else opened)
+        assert got["_local"][i].as_py() == pytest.approx(local, abs=1e-9)
+        assert got["_open"][i].as_py() == pytest.approx(opened, abs=1e-9)
