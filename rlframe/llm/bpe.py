@@ -13,7 +13,8 @@ import gc
 import re
 from array import array
 
-#: Pieces remembered by a worker in each of two generations (about 200 bytes each).
+#: Pieces remembered in each of two generations of each of two memos (about 200
+#: bytes each). A job that shares its workers with others can ask for fewer.
 MEMO_ENTRIES = 500_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -42,9 +43,10 @@ class _Memo(dict):
 
     Full, it becomes the older generation; pieces used again move back."""
 
-    def __init__(self, prefix: str, tokenizer, head=None):
+    def __init__(self, prefix: str, tokenizer, entries: int, head=None):
         super().__init__()
         self.prefix, self.tokenizer, self.model = prefix, tokenizer, tokenizer.model
+        self.entries = entries
         self.head = self if head is None else head
         self.older: dict[str, bytes] = {}
         self.line_end = self.whole("\n") if head is None else head.line_end
@@ -53,7 +55,7 @@ class _Memo(dict):
         out = self.older.get(piece)
         if out is None:
             out = self._ids(piece)
-        if len(self) >= MEMO_ENTRIES:
+        if len(self) >= self.entries:
             self.older = dict(self)
             self.clear()
         self[piece] = out
@@ -83,12 +85,12 @@ class _Memo(dict):
 class Encoder:
     """Whole-text encoder over one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._head = _Memo("", tok)
-        self._next = _Memo(" ", tok, self._head)
+        self._head = _Memo("", tok, entries)
+        self._next = _Memo(" ", tok, entries, self._head)
 
     def encode(self, text: str) -> bytes:
         """Ids of the text as little-endian uint32 bytes."""
@@ -104,12 +106,12 @@ class Encoder:
             return self._head.whole(first) + b"".join(map(self._next.whole, rest))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, entries: int = MEMO_ENTRIES) -> Encoder:
     """The worker's encoder for a tokenizer file (kept between tasks)."""
-    if path not in _ENCODERS:
+    if (path, entries) not in _ENCODERS:
         gc.set_threshold(100_000, 20, 50)  # the memo holds no cycles to look for
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path, entries] = Encoder(path, entries)
+    return _ENCODERS[path, entries]

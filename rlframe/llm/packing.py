@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rlframe.llm.bpe import encoder
+from rlframe.llm.bpe import MEMO_ENTRIES, encoder
 from rlframe.llm.shared import mix64, offsets, slices, staged
 
 WINDOW = 2048
@@ -33,9 +33,9 @@ ROWS_PER_PARTITION = 16_384
 BYTES_AT_ONCE = 4_000_000
 
 
-def _tails(path: str, end_id: int, with_ids: bool):
+def _tails(path: str, end_id: int, with_ids: bool, memo: int):
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, memo)
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc, texts = batch.column(0), batch.column(1).to_pylist()
@@ -191,17 +191,19 @@ def _pack(with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, with_ids: bool = False,
+         memo: int = MEMO_ENTRIES) -> DataFrame:
     """Pieces of all rows of ``docs(doc_id, text, ...)``: doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset, and the ids (little-endian
-    uint32) if asked for.
+    uint32) if asked for. ``memo`` bounds what a worker remembers of pieces it has
+encoded (:data:`rlframe.llm.bpe.MEMO_ENTRIES`); it changes time, not results.
 
     A null or empty text has its end id only. Each row is a document of its
     own, also with a null or repeated doc_id. Other columns are ignored. Any
     text length goes: full windows leave the index alone. An empty table gives
     no rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    tails = staged(rows.mapInArrow(_tails(tokenizer, end_id, with_ids),
+    tails = staged(rows.mapInArrow(_tails(tokenizer, end_id, with_ids, memo),
                                    "doc_id long, key long, n long, crcs array<long>, tail binary, head binary"), "tails")
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, -(-tails.count() // ROWS_PER_PARTITION), 1)

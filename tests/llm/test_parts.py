@@ -242,3 +242,40 @@ def test_products_over_passages_equal_dense_matrices():
             for slot, row in zip(out.column("slot").to_pylist(), out.column("row").to_pylist()):
                 got[slot] += row
         assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
+
+
+def test_zones_equal_the_union_of_extended_windows_and_are_linear():
+    import time
+
+    def plain(text):
+        spans = []
+        for m in re.finditer("[0-9@]", text):
+            a, b = max(0, m.start() - pii.MARGIN), min(len(text), m.start() + pii.MARGIN)
+            while a > 0 and not text[a].isspace() and text[a - 1] not in " \n":
+                a -= 1
+            while b < len(text) and text[b] not in " \n":
+                b += 1
+            spans.append((a, b))
+        out = []
+        for a, b in sorted(spans):
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
+
+    rng = random.Random(9)
+    for _ in range(400):
+        t = "".join(rng.choice("abcdefgh" * 12 + " \n\t1@") for _ in range(rng.randrange(0, 600)))
+        assert pii.zones(t) == plain(t)
+    began = time.time()
+    assert pii.zones("ab1cdefg" * 625_000) == [(0, 5_000_000)]
+    assert time.time() - began < 20
+
+
+def test_memo_of_any_size_gives_equal_ids():
+    small, large = bpe.Encoder(VOCABULARY, 3), bpe.Encoder(VOCABULARY)
+    rng = random.Random(4)
+    for _ in range(200):
+        t = " ".join("".join(rng.choice("abcé1.\n") for _ in range(rng.randrange(1, 6))) for _ in range(30))
+        assert small.encode(t) == large.encode(t)
