@@ -11,7 +11,7 @@ NAMES = ["grpo_advantage", "rloo_advantage", "gae", "discounted_return_reset", "
          "score_bundle", "turn_loop_cut", "validation_metrics", "length_balance", "chunk_assign",
          "latex_equal", "final_answer_match", "process_rloo", "call_status", "mc_rows",
          "majority_at_n", "pairwise_rank_graded", "metric_labels",
-         "stream_group_complete", "stream_dedupe", "stream_score_metrics", "io_results_walk"]
+         "stream_dedupe", "stream_score_metrics", "io_results_walk"]
 
 
 @pytest.fixture(scope="module")
