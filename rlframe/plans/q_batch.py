@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rlframe.operators import batch as B
+from rlframe.operators import budget as BU
 from rlframe.plans.registry import R6, query, r6
 from rlframe.sources import adapters as AD
 from rlframe.sources.tables import table
@@ -173,6 +174,43 @@ def token_budget_buckets(spark, sf_dir):
                                         F.sum("len").cast("bigint").alias("total_len"))
 
 
+_BUDGET = """
+WITH RECURSIVE d AS (SELECT coalesce(n_chars, 0) AS len, row_number() OVER (ORDER BY coalesce(n_chars, 0) DESC, doc_id) AS r FROM documents)
+, k AS (SELECT greatest(1, CAST(ceil(sum(len) / 40000.0) AS BIGINT)) AS k FROM d)
+, st AS (SELECT CAST(0 AS BIGINT) AS r, list_transform(range(k), lambda x: CAST(0 AS BIGINT)) AS loads, CAST(NULL AS BIGINT) AS b FROM k
+         UNION ALL
+         SELECT s.r + 1, list_transform(s.loads, lambda x, i: CASE WHEN i = s.p THEN x + d.len ELSE x END), s.p
+         FROM (SELECT *, list_position(loads, list_min(loads)) AS p FROM st) s JOIN d ON d.r = s.r + 1)
+, a AS (SELECT CAST(st.b - 1 AS INTEGER) AS micro_batch, d.len FROM st JOIN d USING (r))
+, l AS (SELECT micro_batch, count(*) AS n_rows, CAST(sum(len) AS BIGINT) AS total_len FROM a GROUP BY ALL)
+"""
+
+
+def _budget(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("len"))
+    return BU.budget_buckets(docs, "len", 40_000, ["doc_id"])
+
+
+@query("token_budget_longest_first", _BUDGET + "SELECT * FROM l")
+def token_budget_longest_first(spark, sf_dir):
+    """Micro-batches of unequal counts, longest document first."""
+    a, _ = _budget(spark, sf_dir)
+    return a.groupBy("micro_batch").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("len").cast("bigint").alias("total_len"))
+
+
+@query("token_budget_report", _BUDGET + """
+SELECT k AS buckets, max(total_len) AS largest, CASE WHEN count(*) < k THEN 0 ELSE min(total_len) END AS smallest,
+       max(total_len) - CASE WHEN count(*) < k THEN 0 ELSE min(total_len) END AS spread,
+       CASE WHEN count(*) < k THEN 0 ELSE min(n_rows) END AS fewest_rows, max(n_rows) AS most_rows,
+       CAST(count(*) FILTER (WHERE total_len > 40000) AS BIGINT) AS over_budget,
+       CAST(sum(greatest(total_len - 40000, 0)) AS BIGINT) AS tokens_over
+FROM l, k GROUP BY k
+""")
+def token_budget_report(spark, sf_dir):
+    a, k = _budget(spark, sf_dir)
+    return BU.budget_report(a, "len", k, 40_000)
+
+
 _RO = AD.sql_with(rollouts=AD.ROLLOUTS_SQL)
 
 
