@@ -16,11 +16,15 @@ from rlframe.operators.voting import draw_sizes, majority_moments
 def _long(row: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:
     """Unpivot metric columns into (metric, value)."""
     keys = keys or []
-    stack = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"))
+    stack = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").cast("double").alias("value"))
                                 for n in names]))
     return row.select(*keys, stack.alias("_m")).select(*keys, "_m.metric", "_m.value")
 
 
+#: Fixed names: the substring-match column is logged as ``sim``.
+SCORE_NAMES = {"sm": "sim"}
+
+
 def batch_metrics(seqs: DataFrame, tokens: DataFrame, seq: list[str], max_prompt_length: int,
                   use_critic: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
     """AG-5: score/reward/advantage/return/value stats, explained variance,
@@ -41,7 +45,7 @@ def batch_metrics(seqs: DataFrame, tokens: DataFrame, seq: list[str], max_prompt
         F.max("prompt_length").alias("prompt_length/max"),
         F.min("prompt_length").alias("prompt_length/min"),
         F.avg((F.col("prompt_length") == max_prompt_length).cast("double")).alias("prompt_length/clip_ratio"),
-        *[f(c).alias(f"critic/{c}/{fn}") for c in extra for f, fn in ((F.avg, "mean"), (F.max, "max"), (F.min, "min"))],
+        *[f(c).alias(f"critic/{SCORE_NAMES.get(c, c)}/{fn}") for c in extra for f, fn in ((F.avg, "mean"), (F.max, "max"), (F.min, "min"))],
     )
     rclip = seqs.join(s.select("_rmax"), F.col("response_length") == F.col("_rmax"), "left") \
         .agg((F.count("_rmax") / F.count(F.lit(1))).alias("response_length/clip_ratio"))
@@ -63,6 +67,25 @@ def batch_metrics(seqs: DataFrame, tokens: DataFrame, seq: list[str], max_prompt
     return _long(row, row.columns)
 
 
+def process_reward_metrics(tokens: DataFrame, reward: str = "process_reward", mask: str = "mask") -> DataFrame:
+    """AG-5: mean, max, min and count of the non-zero process rewards of valid
+    tokens; all 0 if there are none. Nulls count as zero."""
+    x = F.when((F.col(mask) != 0) & (F.col(reward) != 0), F.col(reward).cast("double"))
+    row = tokens.agg(*[F.coalesce(f(x), F.lit(0.0)).cast("double").alias(f"critic/process_rewards/{n}")
+                       for f, n in ((F.avg, "mean"), (F.max, "max"), (F.min, "min"), (F.count, "count"))])
+    return _long(row, row.columns)
+
+
+def throughput_metrics(steps: DataFrame, tokens: str = "n_tokens", seconds: str = "seconds", n_devices: int = 1,
+                       keys: list[str] | None = None) -> DataFrame:
+    """AG-7: tokens, time and tokens per second and device, for each row of
+    ``steps`` (named by ``keys``). A step without time has no throughput (NULL)."""
+    rate = F.when(F.col(seconds) > 0, F.col(tokens) / (F.col(seconds) * n_devices))
+    row = steps.select(*(keys or []), F.col(tokens).alias("perf/total_num_tokens"), F.col(seconds).alias("perf/time_per_step"),
+                       rate.alias("perf/throughput"))
+    return _long(row, row.columns[len(keys or []):], keys)
+
+
 # ------------------------------------------------------------ validation
 def validation_metrics(long: DataFrame, source: str = "data_source", prompt: str = "prompt",
                        var: str = "var", value: str = "value", vote: str | None = None) -> DataFrame:

@@ -113,7 +113,9 @@ def detach_preference_loss(seqs: DataFrame, group: str, q: str, acc: str, beta:
                            bon_mode: str = "none") -> DataFrame:
     """WN-13 (contrast): each sample is compared with the mean Q of its
     group's peers on the other side of its accuracy (lower accuracy for a
-    positive sample, higher for the rest); best-of-n weights optional.
+    positive sample, higher for the rest). Best-of-n weights n P^(n-1) optional:
+    P is the share of the group whose accuracy (``bon_acc``) or scaled Q
+    (``bon_rm``) is not above the sample's; weighted losses are summed.
 
     Peer sums come from cumulative sums over the group's accuracy levels
     (a window over at most n rows per group), not from pairs."""
@@ -140,7 +142,16 @@ def detach_preference_loss(seqs: DataFrame, group: str, q: str, acc: str, beta:
         n = F.col("_tc").cast("double")
         weight = n * F.pow(F.col("_cc") / n, n - 1)
         return d.agg(F.sum(F.col("_loss") * weight).alias("dpo_loss"))
-    raise NotImplementedError(bon_mode)
+    if bon_mode == "bon_rm":
+        # share of the group whose scaled Q does not exceed the sample's own,
+        # from the histogram of values: equal ones are one row
+        hist = seqs.groupBy(group, F.col(q).alias("_v")).agg(F.count(F.lit(1)).alias("_vc"))
+        upto = Window.partitionBy(group).orderBy(F.col("_v") * F.lit(beta)).rangeBetween(Window.unboundedPreceding, 0)
+        hist = hist.select(F.col(group).alias("_vg"), "_v", F.sum("_vc").over(upto).alias("_upto"))
+        d = d.join(hist, F.col(group).eqNullSafe(F.col("_vg")) & (F.col(q) == F.col("_v")))
+        n = F.col("_tc").cast("double")
+        return d.agg(F.sum(F.col("_loss") * n * F.pow(F.col("_upto") / n, n - 1)).alias("dpo_loss"))
+    raise ValueError(f"unknown bon_mode {bon_mode!r}")
 
 
 def sq_logratio_loss(tokens: DataFrame, seq: list[str], logp: str, old_logp: str, mask: str,

@@ -241,6 +241,41 @@ def batch_metrics(spark, sf_dir):
     return bm.select("metric", r6("value").alias("value"))
 
 
+@query("batch_score_metrics", _BM + f"""
+, x AS (SELECT CAST(uid % 3 = 0 AS DOUBLE) AS em, (uid % 10) / 10.0 AS f1, (uid % 7) / 7.0 AS sm, CAST(uid % 2 AS DOUBLE) AS fmt FROM seqs)
+, m AS (SELECT unnest([{{'n': 'em', 'v': em}}, {{'n': 'f1', 'v': f1}}, {{'n': 'sim', 'v': sm}}, {{'n': 'format', 'v': fmt}}]) AS s FROM x)
+, a AS (SELECT s.n AS n, avg(s.v) AS mean, max(s.v) AS hi, min(s.v) AS lo FROM m GROUP BY 1)
+, pr AS (SELECT avg(adv) AS mean, max(adv) AS hi, min(adv) AS lo, count(*) AS c FROM tk WHERE mask <> 0 AND adv <> 0)
+, o AS (SELECT 'critic/' || n || '/mean' AS metric, mean AS value FROM a UNION ALL SELECT 'critic/' || n || '/max', hi FROM a
+        UNION ALL SELECT 'critic/' || n || '/min', lo FROM a
+        UNION ALL SELECT 'critic/process_rewards/mean', mean FROM pr UNION ALL SELECT 'critic/process_rewards/max', hi FROM pr
+        UNION ALL SELECT 'critic/process_rewards/min', lo FROM pr UNION ALL SELECT 'critic/process_rewards/count', c FROM pr)
+SELECT metric, {R6('value')} AS value FROM o
+""")
+def batch_score_metrics(spark, sf_dir):
+    """The optional lines of the batch metrics: answer scores and process rewards."""
+    seqs, toks = _bm_inputs(spark, sf_dir)
+    uid = F.col("uid")
+    seqs = seqs.withColumns({"em": (uid % 3 == 0).cast("double"), "f1": uid % 10 / 10.0, "sm": uid % 7 / 7.0, "format": (uid % 2).cast("double")})
+    bm = M.batch_metrics(seqs, toks, ["uid"], max_prompt_length=64, extra=("em", "f1", "sm", "format"))
+    lines = bm.where(F.col("metric").rlike("^critic/(em|f1|sim|format)/")).unionByName(M.process_reward_metrics(toks, "advantage"))
+    return lines.select("metric", r6("value").alias("value"))
+
+
+@query("throughput_metrics", f"""
+WITH s AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS step, count(*) AS n_tokens, sum(value) / 1000.0 AS seconds FROM events GROUP BY 1)
+, m AS (SELECT step, 'perf/total_num_tokens' AS metric, CAST(n_tokens AS DOUBLE) AS value FROM s
+        UNION ALL SELECT step, 'perf/time_per_step', seconds FROM s
+        UNION ALL SELECT step, 'perf/throughput', CASE WHEN seconds > 0 THEN n_tokens / (seconds * 8) END FROM s)
+SELECT step, metric, {R6('value')} AS value FROM m
+""")
+def throughput_metrics(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    steps = ev.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("step")).agg(
+        F.count(F.lit(1)).alias("n_tokens"), (F.sum("value") / 1000.0).alias("seconds"))
+    return M.throughput_metrics(steps, n_devices=8, keys=["step"]).select("step", "metric", r6("value").alias("value"))
+
+
 @query("action_mask_stats", _TK + f"""
 , per AS (SELECT uid, sum(mask) AS a, count(*) AS t FROM tokens GROUP BY uid)
 SELECT {R6('sum(a) / (sum(t) + 1e-8)')} AS action_ratio, CAST(max(a) AS BIGINT) AS action_length_max,

@@ -89,6 +89,18 @@ def detach_preference_loss(spark, sf_dir):
         r6("dpo_loss").alias("dpo_loss"), r6("bon").alias("dpo_loss_bon_acc"))
 
 
+@query("best_of_n_preference_loss", _SEQ + f"""
+, o AS (SELECT a.uid, a.q, a.acc,
+               avg(b.q) FILTER (WHERE (a.acc > 0 AND b.acc < a.acc) OR (a.acc <= 0 AND b.acc > a.acc)) AS oq,
+               avg(CAST(b.q * 0.05 <= a.q * 0.05 AS DOUBLE)) AS frac, count(*) AS n
+        FROM s a JOIN s b ON a.grp = b.grp GROUP BY a.uid, a.q, a.acc)
+, l AS (SELECT *, -ln(1.0 / (1.0 + exp(-((q * 0.05 - coalesce(oq * 0.05, 0.0)) * CASE WHEN acc > 0 THEN 1.0 ELSE -1.0 END)))) AS loss FROM o)
+SELECT {R6('sum(loss * n * pow(frac, n - 1))')} AS dpo_loss FROM l
+""")
+def best_of_n_preference_loss(spark, sf_dir):
+    return PR.detach_preference_loss(_seqs(spark, sf_dir), "grp", "q", "acc", 0.05, "bon_rm").select(r6("dpo_loss").alias("dpo_loss"))
+
+
 @query("sq_logratio_loss", _TK + f"""
 , s AS (SELECT uid, sum(logp * mask) AS lp, sum(old_logp * mask) AS olp, sum(reward) AS r FROM tokens GROUP BY uid)
 SELECT {R6('avg(pow(lp - olp - 0.1 * r, 2))')} AS sppo_loss FROM s
