@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rlframe.operators import prepare as P
+from rlframe.operators.batch import rank_within
 from rlframe.plans.registry import query
 from rlframe.sources import adapters as AD
 from rlframe.sources.tables import table
@@ -123,20 +124,27 @@ def sentence_completion_rows(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    """Preference pairs per source: best (quality 1) vs worst (quality 0)
-    document, lowest doc_id each; partial aggregates, no window."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    g = d.groupBy("source").agg(
-        F.min_by(F.when(F.col("quality") == 1, F.col("text")), F.when(F.col("quality") == 1, F.col("doc_id"))).alias("chosen"),
-        F.min_by(F.when(F.col("quality") == 0, F.col("text")), F.when(F.col("quality") == 0, F.col("doc_id"))).alias("rejected"))
-    return g.where(F.col("chosen").isNotNull() & F.col("rejected").isNotNull()).withColumnRenamed("source", "prompt")
+    """A preference pair for every document of quality 0: the documents of
+    quality 1 of its source take turns, by rank of doc_id. Ranks are taken on
+    ids; whole texts join at the end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    ids = docs.select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    ranked = rank_within(ids, ["source", "quality"], ["doc_id"], "rk")
+    good = ranked.where("quality = 1")
+    n = good.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    turn = ranked.where("quality = 0").join(n, "source").select("source", F.col("doc_id").alias("bad_id"), (F.col("rk") % F.col("n")).cast("int").alias("rk"))
+    pairs = turn.join(good.select("source", "rk", F.col("doc_id").alias("good_id")), ["source", "rk"])
+    text = lambda of, to: docs.select(F.col("doc_id").alias(of), F.col("text").alias(to))
+    return pairs.join(text("good_id", "chosen"), "good_id").join(text("bad_id", "rejected"), "bad_id") \
+        .select(F.concat_ws(":", "source", F.col("bad_id").cast("string")).alias("prompt"), "chosen", "rejected")
 
 
 _PAIRS_SQL = """
-WITH d AS (SELECT * FROM documents JOIN labels USING (doc_id))
-, pairs AS (SELECT source AS prompt, arg_min(text, doc_id) FILTER (WHERE quality = 1) AS chosen,
-                   arg_min(text, doc_id) FILTER (WHERE quality = 0) AS rejected FROM d GROUP BY source)
-, p AS (SELECT * FROM pairs WHERE chosen IS NOT NULL AND rejected IS NOT NULL)
+WITH d AS (SELECT documents.doc_id, source, quality, text,
+                  row_number() OVER (PARTITION BY source, quality ORDER BY documents.doc_id) - 1 AS rk FROM documents JOIN labels USING (doc_id))
+, n AS (SELECT source, count(*) AS n FROM d WHERE quality = 1 GROUP BY source)
+, p AS (SELECT b.source || ':' || b.doc_id AS prompt, g.text AS chosen, b.text AS rejected
+        FROM d b JOIN n USING (source) JOIN d g ON g.source = b.source AND g.quality = 1 AND g.rk = b.rk % n.n WHERE b.quality = 0)
 """
 
 

@@ -99,7 +99,7 @@ def loss_mask_spans(spark, sf_dir):
 , e AS (SELECT pcs.conv_id, vl, i - 1 AS call_idx,
                sum(length(p) + 21) OVER (PARTITION BY pcs.conv_id ORDER BY i) AS endc
         FROM pcs JOIN np USING (conv_id) WHERE i < np.n)
-, rw AS (SELECT conv_id, call_idx, ((conv_id % 3) - 1) * 0.1 * (call_idx + 1) AS reward FROM e WHERE call_idx < 2)
+, rw AS (SELECT conv_id, call_idx, ((conv_id % 3) - 1) * 0.1 * (call_idx + 1) AS reward FROM e)
 , pl AS (SELECT e.conv_id, CAST(floor(endc / 4) - 1 AS BIGINT) AS pos, rw.reward FROM e JOIN rw USING (conv_id, call_idx)
          WHERE floor(endc / 4) - 1 < vl)
 , rc AS (SELECT *, sum(reward) OVER (PARTITION BY conv_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING) AS c FROM pl)
@@ -111,9 +111,9 @@ def process_reward_placement(spark, sf_dir):
         F.struct("turn", "content"))), lambda x: x["content"]), "").alias("t"))
     resp = resp.withColumn("vl", F.floor(F.length("t") / 4))
     n_calls = resp.select("conv_id", (F.size(F.split("t", "</interaction_prompt>", -1)) - 1).alias("n"))
-    rewards = n_calls.select("conv_id", F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(2)) - 1)).alias("call_idx")) \
+    rewards = n_calls.where("n > 0").select("conv_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("call_idx")) \
         .withColumn("reward", (F.pmod("conv_id", F.lit(3)) - 1) * 0.1 * (F.col("call_idx") + 1))
-    out = TL.place_process_rewards(resp, "conv_id", "t", "vl", rewards.where(F.col("call_idx") >= 0))
+    out = TL.place_process_rewards(resp, "conv_id", "t", "vl", rewards)
     return out.select("conv_id", F.col("pos").cast("bigint"), r6("reward").alias("reward"))
 
 
