@@ -105,37 +105,6 @@ def test_model_scores_equal_recounted_tokens(spark):
         assert r.score < 0
 
 
-def test_edges_of_the_prefix_tree_count_like_a_loop():
-    counts = {b"abc": 5, b"abd": 1, b"abdomen": 4, b"x": 2, lm.END: 3, b"abdomens": 0}
-    words = lm.Words(list(counts), np.array(list(counts.values())))
-    texts = sorted(w if w == lm.END else w + b" " for w in counts)
-    times = {w if w == lm.END else w + b" ": c for w, c in counts.items()}
-    bits = {w: "".join(f"{x:08b}" for x in w) for w in texts}
-    table = np.zeros((lm.TABLE_SLOTS, 2), np.float32)
-    steps = list(words.bits())
-    assert len(steps) == 8 * 9
-    for place, rows, words_of, c, bit, slots, ones, zeros in steps:
-        live = [w for w in texts if len(bits[w]) > place]
-        assert [texts[i] for i in rows] == live
-        edges = sorted({bits[w][:place + 1] for w in live})
-        under = {p: sum(times[w] for w in texts if bits[w].startswith(p)) for e in edges for p in (e, e[:-1] + "0", e[:-1] + "1")}
-        assert words_of.tolist() == [sum(bits[w].startswith(e) for w in live) for e in edges]
-        assert c.tolist() == [under[e] for e in edges]
-        assert bit.tolist() == [int(e[-1]) for e in edges]
-        if place >= 8 * lm.PREFIX_KEY:
-            assert ones.tolist() == [under[e[:-1] + "1"] for e in edges]
-            assert zeros.tolist() == [under[e[:-1] + "0"] for e in edges]
-        # equal contexts have equal slots, whatever the words
-        heads = {}
-        for k, order in enumerate(lm.ORDERS):
-            for e, s in zip(edges, slots[k]):
-                # an edge starts inside its byte; the context is the bytes before
-                start = place // 8 * 8
-                assert heads.setdefault((k, e[max(0, start - 8 * order):-1]), s) == s
-        x = lm._inputs(table, slots, ones, zeros)
-        assert np.isfinite(x).all() and x.shape == (lm.INPUTS, len(edges))
-
-
 def test_chat_digests(spark):
     got = {r.conv_id: r for r in E.queries()["op3_chat_machine"](spark, SF).collect()}
     hard = "</s>[INST] ok [/INST]"
