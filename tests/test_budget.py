@@ -55,6 +55,31 @@ def test_rows_follow_the_quotas_and_beat_equal_counts(spark):
     assert r.spread < max(other) - min(other) and r.largest <= max(other)
 
 
+def test_many_lengths_and_buckets(spark):
+    """More than twenty million pairs of a length and a bucket."""
+    lengths = [1 + 7 * i for i in range(5000)] * 2
+    df = spark.createDataFrame(list(enumerate(lengths)), "id long, len int")
+    budget = sum(lengths) // 4500
+    out, k = BU.budget_buckets(df, "len", budget, ["id"])
+    assert k * 5000 > 20_000_000
+    got = [Counter() for _ in range(k)]
+    for r in out.collect():
+        got[r.micro_batch][r.len] += 1
+    assert got == heap_loads(lengths, k)
+
+
+def test_heap_and_bisection_agree(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(100):
+        pairs = sorted({rng.randrange(0, 90): rng.randrange(1, 60) for _ in range(12)}.items(), reverse=True)
+        k = rng.randrange(1, 9)
+        both = []
+        for many in (0, 10 ** 9):
+            monkeypatch.setattr(BU, "MANY", many)
+            both.append([(s, b.tolist(), n.tolist()) for s, b, n in BU.deal(iter(pairs), k)])
+        assert both[0] == both[1]
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "id long, len int")
     out, k = BU.budget_buckets(empty, "len", 10, ["id"])
