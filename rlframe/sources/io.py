@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from rlframe.operators.batch import with_global_index
+
 QA_RECORD = StructType([
     StructField("question", StringType()), StructField("golden_answers", ArrayType(StringType())),
     StructField("answer", StringType()), StructField("context", StringType()),
@@ -32,9 +34,14 @@ def write_json_arrays(df: DataFrame, path: str, bucket: str, rows_per_file: int
                       folder: str | None = None) -> None:
     """Write records as JSON-array files of at most ``rows_per_file`` rows
     (grouped by ``bucket // rows_per_file``, so no file needs a whole table),
-    optionally one folder per value of ``folder``."""
-    keys = [F.floor(F.col(bucket) / rows_per_file).alias("_b")] + ([F.col(folder)] if folder else [])
+    optionally one folder per value of ``folder``.
+
+    With folders the rows are numbered by (folder, bucket) first: a folder's
+    files are full but for the first and the last, however its ids are spread."""
     body = [c for c in df.columns if c != folder]
+    if folder:
+        df = with_global_index(df, [F.col(folder), F.col(bucket)], "_at")
+    keys = [F.floor(F.col("_at" if folder else bucket) / rows_per_file).alias("_b")] + ([F.col(folder)] if folder else [])
     lines = df.select(*keys, F.to_json(F.struct(*[F.col(c) for c in body])).alias("_j"))
     arrays = lines.groupBy("_b", *([folder] if folder else [])).agg(
         F.concat(F.lit("["), F.array_join(F.collect_list("_j"), ","), F.lit("]")).alias("value"))
