@@ -6,6 +6,10 @@ texts are normalised once per prediction and once per gold, exploded into
 tokens therefore spread over many tasks, and a gold shared by many
 predictions is tokenised once.
 
+Predictions are many and golds usually few: predictions are brought together by
+their key once, before their tokens are exploded, and golds of up to
+``FEW_GOLD_CHARS`` characters go to every task instead of being joined by a shuffle.
+
 Join keys: ``on`` columns are present in both tables (e.g. ``dataset`` when
 golds are shared per dataset, or ``data_id`` when each prediction has its
 own list).
@@ -22,6 +26,9 @@ from rlframe.functions import text as T
 
 IDF_ONE_SIDED = 1.0 + math.log(1.5)   # smooth idf for a term in 1 of 2 docs
 
+#: Golds of no more characters in all are broadcast; more are joined by a shuffle.
+FEW_GOLD_CHARS = 4_000_000
+
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back
@@ -31,6 +38,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _few(golds: DataFrame, gold: str) -> bool:
+    """Whether the golds and their token counts fit a broadcast."""
+    return (golds.agg(F.sum(F.length(F.col(gold)) + 1)).first()[0] or 0) <= FEW_GOLD_CHARS
+
+
 def _token_counts(df: DataFrame, key: list[str], tokens_col) -> DataFrame:
     return (df.select(*key, F.explode(tokens_col).alias("tok"))
               .groupBy(*key, "tok").agg(F.count(F.lit(1)).alias("cnt")))
@@ -51,13 +63,20 @@ def pair_scores(preds: DataFrame, golds: DataFrame, pred_key: list[str], gold_ke
     P = materialize(P.withColumn("ptoks", T.tokens("np")))
     G = materialize(G.withColumn("gtoks", T.tokens("ng")))
 
+    few = _few(G, "ng")
+    small = F.broadcast if few else (lambda df: df)
+    # what needs both texts is taken here, so that no text goes into the joins by pair
     pairs = P.select(*pk, "np", "pblank", F.size("ptoks").alias("n_p"),
                      F.size(F.array_distinct("ptoks")).alias("d_p")).join(
-            G.select(*gk, "ng", "gblank", F.size("gtoks").alias("n_g"),
-                     F.size(F.array_distinct("gtoks")).alias("d_g")), on)
-
-    pc = _token_counts(P, pk, "ptoks").withColumnRenamed("cnt", "cp")
-    gc = _token_counts(G, gk, "gtoks").withColumnRenamed("cnt", "cg")
+            small(G.select(*gk, "ng", "gblank", F.size("gtoks").alias("n_g"),
+                           F.size(F.array_distinct("gtoks")).alias("d_g"))), on) \
+        .select(*dict.fromkeys(pk + gk), "pblank", "gblank", "n_p", "d_p", "n_g", "d_g",
+                (F.col("np") == F.col("ng")).cast("double").alias("em"),
+                T.eval_substring(F.col("np"), F.col("ng")).alias("sm_eval"),
+                (F.instr(F.col("np"), F.col("ng")) > 0).cast("double").alias("sm_reward"))
+
+    pc = _token_counts(P.select(*pk, "ptoks").repartition(*pk), pk, "ptoks").withColumnRenamed("cnt", "cp")
+    gc = small(_token_counts(G, gk, "gtoks").withColumnRenamed("cnt", "cg"))
     both_key = list(dict.fromkeys(pk + gk))
     common = (pc.join(gc, on + ["tok"])
                 .groupBy(*both_key)
@@ -71,10 +90,7 @@ def pair_scores(preds: DataFrame, golds: DataFrame, pred_key: list[str], gold_ke
     jac = F.when(F.col("pblank") | F.col("gblank") | (F.col("d_p") == 0) | (F.col("d_g") == 0),
                  F.lit(1.0)).otherwise(F.col("inter") / union)
     out = out.select(
-        *both_key,
-        (F.col("np") == F.col("ng")).cast("double").alias("em"),
-        T.eval_substring(F.col("np"), F.col("ng")).alias("sm_eval"),
-        (F.instr(F.col("np"), F.col("ng")) > 0).cast("double").alias("sm_reward"),
+        *both_key, "em", "sm_eval", "sm_reward",
         T.f1_from_counts(common_d, n_p, n_g, True).alias("f1_eval"),
         T.f1_from_counts(common_d, n_p, n_g, False).alias("f1_reward"),
         jac.alias("jaccard"),
@@ -82,7 +98,7 @@ def pair_scores(preds: DataFrame, golds: DataFrame, pred_key: list[str], gold_ke
     )
     if with_tfidf:
         out = out.join(_tfidf(preds.select(*pk, F.col(pred).alias("_praw")),
-                              golds.select(*gk, F.col(gold).alias("_graw")), pk, gk, on), both_key, "left")
+                              golds.select(*gk, F.col(gold).alias("_graw")), pk, gk, on, few), both_key, "left")
         out = out.withColumn("tfidf", F.when(F.col("pblank") | F.col("gblank"), F.lit(1.0))
                              .otherwise(F.coalesce(F.col("tfidf"), F.lit(1.0))))
     return out.drop("pblank", "gblank")
@@ -94,16 +110,18 @@ def tfidf_pair_scores(preds: DataFrame, golds: DataFrame, pred_key: list[str], g
     pk = list(dict.fromkeys(pred_key + on))
     gk = list(dict.fromkeys(gold_key + on))
     both_key = list(dict.fromkeys(pk + gk))
+    few = _few(golds, gold)
+    small = F.broadcast if few else (lambda df: df)
     t = _tfidf(preds.select(*pk, F.col(pred).alias("_praw")), golds.select(*gk, F.col(gold).alias("_graw")),
-               pk, gk, on)
+               pk, gk, on, few)
     blanks = preds.select(*pk, T.is_blank(pred).alias("pblank")).join(
-        golds.select(*gk, T.is_blank(gold).alias("gblank")), on)
+        small(golds.select(*gk, T.is_blank(gold).alias("gblank"))), on)
     out = blanks.join(t, both_key, "left")
     return out.select(*both_key, F.when(F.col("pblank") | F.col("gblank"), F.lit(1.0))
                       .otherwise(F.coalesce(F.col("tfidf"), F.lit(1.0))).alias("tfidf"))
 
 
-def _tfidf(P: DataFrame, G: DataFrame, pk, gk, on) -> DataFrame:
+def _tfidf(P: DataFrame, G: DataFrame, pk, gk, on, few: bool) -> DataFrame:
     """Cosine of smooth-idf TF-IDF vectors fitted on the pair only.
 
     idf = 1 for a word in both texts, 1+ln(1.5) for a word in one. With
@@ -112,16 +130,17 @@ def _tfidf(P: DataFrame, G: DataFrame, pk, gk, on) -> DataFrame:
     runs over shared words only. Empty vocabulary -> NULL (caller maps to 1).
     """
     k2 = IDF_ONE_SIDED ** 2
-    pw = _token_counts(P, pk, T.tfidf_words("_praw")).withColumnRenamed("cnt", "a")
+    small = F.broadcast if few else (lambda df: df)
+    pw = _token_counts(P.repartition(*pk), pk, T.tfidf_words("_praw")).withColumnRenamed("cnt", "a")
     gw = _token_counts(G, gk, T.tfidf_words("_graw")).withColumnRenamed("cnt", "b")
     pn = pw.groupBy(*pk).agg(F.sum(F.col("a") * F.col("a")).alias("sa"))
     gn = gw.groupBy(*gk).agg(F.sum(F.col("b") * F.col("b")).alias("sb"))
     both_key = list(dict.fromkeys(pk + gk))
-    shared = (pw.join(gw, on + ["tok"]).groupBy(*both_key).agg(
+    shared = (pw.join(small(gw), on + ["tok"]).groupBy(*both_key).agg(
         F.sum(F.col("a") * F.col("b")).alias("dot"),
         F.sum(F.col("a") * F.col("a")).alias("sa_sh"),
         F.sum(F.col("b") * F.col("b")).alias("sb_sh")))
-    pairs = P.select(*pk).join(G.select(*gk), on)
+    pairs = P.select(*pk).join(small(G.select(*gk)), on)
     t = (pairs.join(pn, pk, "left").join(gn, gk, "left").join(shared, both_key, "left")
               .fillna(0, ["sa", "sb", "dot", "sa_sh", "sb_sh"]))
     na = F.sqrt(F.lit(k2) * F.col("sa") - F.lit(k2 - 1.0) * F.col("sa_sh"))

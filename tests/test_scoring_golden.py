@@ -67,3 +67,23 @@ def test_group_advantage_cases(spark):
     r = {(x.uid, x.i): x.advantage for x in A.rloo_advantage(df).collect()}
     assert r[("u", 0)] == pytest.approx(1.0) and r[("u", 1)] == pytest.approx(-1.0)
     assert r[("s", 0)] == pytest.approx(0.3)
+
+
+def test_few_golds_are_not_shuffled_by_token(spark, monkeypatch):
+    """Neither tokens of a prediction nor texts of a pair go through a shuffle; many golds give the same."""
+    preds = spark.createDataFrame([(i, "d", f"some words here w{i % 5} w{i % 3}") for i in range(30)] + [(3, "d", "twice")],
+                                  "data_id long, dataset string, pred string")
+    golds = spark.createDataFrame([("d", j, f"other words w{j} w{j + 1}") for j in range(3)], "dataset string, gold_idx int, gold string")
+    args = (preds, golds, ["data_id"], ["gold_idx"], ["dataset"])
+    got = {}
+    for limit in (S.FEW_GOLD_CHARS, 0):
+        monkeypatch.setattr(S, "FEW_GOLD_CHARS", limit)
+        tfidf, pairs = S.tfidf_pair_scores(*args), S.pair_scores(*args)
+        got[limit] = [sorted(map(tuple, df.collect())) for df in (tfidf, pairs)]
+        if limit:
+            for df in (tfidf, pairs):
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                shuffles = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+                assert shuffles and not [x for x in shuffles if "data_id" in x and "tok#" in x]
+    (a, b), (c, d) = got.values()
+    assert a == c and b == d and len(a) == len(b) == 99
