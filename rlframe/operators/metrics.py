@@ -6,11 +6,14 @@ filtered, joined and written like any other table.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from rlframe.operators.voting import draw_sizes, majority_moments
+from rlframe.operators.voting import majority_moments
 
 
 def _long(row: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -87,6 +90,74 @@ def throughput_metrics(steps: DataFrame, tokens: str = "n_tokens", seconds: str
 
 
 # ------------------------------------------------------------ validation
+_DRAWN = ("best_mean", "best_std", "worst_mean", "worst_std")
+
+
+def _draw_sums(batches):
+    """Sums over prompts of the moments of best@k and worst@k, for k = 1, 2, 4,
+    ... < N and N, by (source, var, k, N if k is 1).
+
+    Rows are the values of one prompt after another in rising order: ``_c``
+    samples with the value ``_x`` above the smallest, ``_hi`` up to it. They are
+    added up as they come: of a prompt that goes on, a row of sums per k is held."""
+    held = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        c, hi, n, base, x = (batch.column(name).to_numpy() for name in ("_c", "_hi", "_n", "_base", "_x"))
+        begin = np.flatnonzero(hi == c)
+        goes_on = len(begin) == 0 or begin[0] > 0
+        if goes_on:
+            begin = np.concatenate([[0], begin])
+        if held is not None and not goes_on:
+            yield from _over_prompts(*held)
+            held = None
+        sums = np.zeros((len(begin), 2 + int(np.log2(n.max())), 4))
+        lo, total = hi - c, n.astype(np.float64)
+        prompt = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(c))))
+        rows, at = np.arange(len(c)), begin
+        with np.errstate(all="ignore"):
+            for j in range(sums.shape[1]):
+                k = np.minimum(1 << min(j, 62), n[rows]).astype(np.float64)
+                share = lambda y: np.power(y[rows] / total[rows], k)  # noqa: B023, E731
+                most, least = share(hi) - share(lo), share(n - lo) - share(n - hi)
+                v = x[rows]
+                terms = np.column_stack([v * most, v * v * most, v * least, v * v * least])
+                sums[prompt[rows[at]], j] = np.add.reduceat(terms, at)
+                rows = rows[n[rows] > 1 << min(j, 62)] if j < 62 else rows[:0]
+                if len(rows) == 0:
+                    break
+                at = np.flatnonzero(np.diff(prompt[rows], prepend=-1))
+        if goes_on and held is not None:
+            deep = min(sums.shape[1], held[1].shape[1])
+            sums[0, :deep] += held[1][0, :deep]
+        keys = batch.select(["_source", "_var"])
+        if len(begin) > 1:
+            yield from _over_prompts(keys.take(pa.array(begin[:-1])), sums[:-1], n[begin[:-1]], base[begin[:-1]])
+        last = begin[-1:]
+        held = (keys.take(pa.array(last)), sums[-1:], n[last], base[last])
+    if held is not None:
+        yield from _over_prompts(*held)
+
+
+def _over_prompts(keys, sums, n, base):
+    top = np.where(n > 1, np.ceil(np.log2(np.maximum(n, 2))), 0).astype(np.int64)  # the place of k = N
+    prompt, j = np.nonzero(np.arange(sums.shape[1]) <= top[:, None])
+    k = np.minimum(np.left_shift(1, np.minimum(j, 62)), n[prompt])
+    b1, b2, w1, w2 = sums[prompt, j].T
+    with np.errstate(all="ignore"):
+        moments = (base[prompt] + b1, np.sqrt(np.maximum(b2 - b1 * b1, 0.0)),
+                   base[prompt] + w1, np.sqrt(np.maximum(w2 - w1 * w1, 0.0)))
+    rows = pa.Table.from_batches([keys.take(pa.array(prompt))]).append_column("_k", pa.array(k)) \
+        .append_column("_of", pa.array(n[prompt], mask=j > 0)).append_column("_prompts", pa.array(np.ones(len(k), np.int64)))
+    for name, value in zip(_DRAWN, moments):
+        rows = rows.append_column(name, pa.array(value))
+    added = ["_prompts", *_DRAWN]
+    yield from rows.group_by(["_source", "_var", "_k", "_of"]).aggregate([(name, "sum") for name in added]) \
+        .select(["_source", "_var", "_k", "_of", *[f"{name}_sum" for name in added]]) \
+        .rename_columns(["_source", "_var", "_k", "_of", *added]).combine_chunks().to_batches()
+
+
 def validation_metrics(long: DataFrame, source: str = "data_source", prompt: str = "prompt",
                        var: str = "var", value: str = "value", vote: str | None = None) -> DataFrame:
     """AG-9..11: per (source, prompt, var) mean@N, std@N (population) and, for
@@ -106,21 +177,14 @@ def validation_metrics(long: DataFrame, source: str = "data_source", prompt: str
     all_ = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     hist = hist.select(*g, "_c", F.sum("_c").over(upto).alias("_hi"), F.sum("_c").over(all_).alias("_n"),
                        F.first("_v").over(all_).alias("_base"), "_v")
-    sizes = F.concat(F.array(F.lit(1).cast("long")), F.coalesce(draw_sizes(F.col("_n")), F.array().cast("array<long>")))
-    d = hist.withColumn("_k", F.explode(sizes))
-    share = lambda x: F.pow(x / F.col("_n").cast("double"), F.col("_k").cast("double"))
-    lo = F.col("_hi") - F.col("_c")
-    pmax = share(F.col("_hi")) - share(lo)
-    pmin = share(F.col("_n") - lo) - share(F.col("_n") - F.col("_hi"))
-    v = F.col("_v") - F.col("_base")
-    per = d.groupBy(*g, "_k").agg(F.first("_n").alias("_n"), F.first("_base").alias("_base"),
-                                  *[F.sum(x * p).alias(name) for name, x, p in (("b1", v, pmax), ("b2", v * v, pmax),
-                                                                                ("w1", v, pmin), ("w2", v * v, pmin))])
-    sd = lambda m, m2: F.sqrt(F.greatest(F.col(m2) - F.col(m) * F.col(m), F.lit(0.0)))
     # means over prompts first, names on the few rows that are left
-    mean = per.groupBy(source, var, "_k", F.when(F.col("_k") == 1, F.col("_n")).alias("_of")).agg(
-        F.avg(F.col("_base") + F.col("b1")).alias("best_mean"), F.avg(sd("b1", "b2")).alias("best_std"),
-        F.avg(F.col("_base") + F.col("w1")).alias("worst_mean"), F.avg(sd("w1", "w2")).alias("worst_std"))
+    marked = hist.select(F.col(source).alias("_source"), F.col(var).alias("_var"), "_c", "_hi", "_n", "_base",
+                         (F.col("_v") - F.col("_base")).alias("_x"))
+    kinds = StructType([marked.schema["_source"], marked.schema["_var"]])
+    for name, kind in (("_k", "long"), ("_of", "long"), ("_prompts", "long"), *((c, "double") for c in _DRAWN)):
+        kinds = kinds.add(name, kind)
+    mean = marked.mapInArrow(_draw_sums, kinds).groupBy(F.col("_source").alias(source), F.col("_var").alias(var), "_k", "_of") \
+        .agg(*[(F.sum(c) / F.sum("_prompts")).alias(c) for c in _DRAWN])
     one = F.col("_k") == 1
     named = lambda kind, n, stat, x: F.struct(F.concat(F.lit(kind), n.cast("string"), F.lit(stat)).alias("metric"), F.col(x).alias("value"))
     k = F.col("_k")

@@ -27,8 +27,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 #: A number of winning draws is left out if even its bound is below this share.
 NEGLIGIBLE = 1e-20
@@ -97,33 +98,73 @@ def draw_sizes(total: Column) -> Column:
     return F.when(total > 1, F.concat(doubles, F.array(total.cast("long"))))
 
 
-def class_sizes(votes: DataFrame, prompt: list[str], size: str = "size") -> DataFrame:
-    """Per prompt the number of samples and its class sizes as one string.
+def class_sizes(votes: DataFrame, prompt: list[str], size: str = "size", sums: tuple[str, ...] = ()) -> DataFrame:
+    """(prompt, total, sizes, sums): per prompt the number of samples, its class
+    sizes as a list (size, number of classes of that size, next size, ...) and,
+    for each column in ``sums``, its sums over the classes of each size.
 
-    ``votes`` has a row per prompt and class. Classes of one size are counted
-    before they are listed, so the list has at most sqrt(2 N) entries."""
-    counted = votes.groupBy(*prompt, size).agg(F.count(F.lit(1)).alias("_r"))
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(size).cast("long").alias("m"), F.col("_r").alias("r"))))
-    return counted.groupBy(*prompt).agg(pairs.alias("_pairs"), F.sum(F.col(size) * F.col("_r")).cast("long").alias("total")) \
-        .select(*prompt, "total", F.array_join(F.transform("_pairs", lambda x: F.concat_ws(":", x["m"], x["r"])), ",").alias("sizes"))
+    ``votes`` has a row per prompt and class. They are read in order of size and
+    classes of one size are added up as they come, so what a task holds of a
+    prompt has at most sqrt(2 N) entries."""
+    by_size = Window.partitionBy(*prompt).orderBy(size)
+    rows = votes.select(*prompt, F.col(size).cast("long").alias("_m"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in sums],
+                        (F.row_number().over(by_size) == 1).alias("_first"))
+    shape = StructType([rows.schema[c] for c in prompt]).add("total", "long").add("sizes", ArrayType(LongType()))
+    for c in sums:
+        shape = shape.add(c, ArrayType(DoubleType()))
+
+    def read(batches):
+        held = None  # the last group so far, which may go on: its keys, sizes, numbers of classes, sums
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            keys = pa.Table.from_batches([batch.select(prompt)])
+            first = batch.column("_first").to_numpy(zero_copy_only=False)
+            m, r = batch.column("_m").to_numpy(), np.ones(batch.num_rows, np.int64)
+            sums_ = [batch.column(c).to_numpy() for c in sums]
+            row = np.arange(batch.num_rows)
+            if held is not None:
+                row = np.concatenate([np.zeros(len(held[1]), np.int64), row + 1])
+                keys = pa.concat_tables([held[0], keys])
+                first = np.concatenate([np.arange(len(held[1])) == 0, first])
+                m, r, *sums_ = [np.concatenate([a, b]) for a, b in zip(held[1:], [m, r, *sums_])]
+            at = np.flatnonzero(first | (np.diff(m, prepend=-1) != 0))
+            r, *sums_ = [np.add.reduceat(x, at) for x in (r, *sums_)]
+            m, row, begin = m[at], row[at], np.flatnonzero(first[at])
+            last = begin[-1]
+            held = (keys.slice(row[last], 1), m[last:], r[last:], *[x[last:] for x in sums_])
+            if last:
+                yield from listed(keys.take(row[begin[:-1]]), begin, m, r, sums_)
+        if held is not None:
+            yield from listed(held[0], np.array([0, len(held[1])]), held[1], held[2], held[3:])
+
+    def listed(keys, begin, m, r, sums_):
+        end = begin[-1]
+        total = np.add.reduceat((m * r)[:end], begin[:-1])
+        lists = [pa.ListArray.from_arrays(begin.astype(np.int32) * 2, np.column_stack([m, r])[:end].ravel()),
+                 *[pa.ListArray.from_arrays(begin.astype(np.int32), x[:end]) for x in sums_]]
+        named = keys.append_column("total", pa.array(total))
+        for c, x in zip(("sizes", *sums), lists):
+            named = named.append_column(c, x)
+        yield from named.combine_chunks().to_batches()
+
+    return rows.mapInArrow(read, shape)
 
 
 def laws(shapes: DataFrame) -> DataFrame:
-    """(sizes, n, size, win): the law of each distinct ``sizes`` and draw size n."""
+    """(sizes, n, win): the law of each distinct ``sizes`` and draw size n, as the
+    winning probability of one class of each size."""
     asked = shapes.select("sizes", "total").distinct().select("sizes", F.explode(draw_sizes(F.col("total"))).alias("n"))
 
     def solve(batches):
         for batch in batches:
-            rows = []
-            for sizes, n in zip(batch.column("sizes").to_pylist(), batch.column("n").to_pylist()):
-                classes = [tuple(map(int, x.split(":"))) for x in sizes.split(",")]
-                rows += [(sizes, n, m, p) for m, p in majority_law(classes, n).items()]
-            kinds = (("sizes", pa.string()), ("n", pa.int64()), ("size", pa.int64()), ("win", pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)],
-                                             names=[c for c, _ in kinds])
+            asked = list(zip(batch.column("sizes").to_pylist(), batch.column("n").to_pylist()))
+            won = [list(majority_law(list(zip(s[::2], s[1::2])), n).values()) for s, n in asked]
+            yield pa.RecordBatch.from_arrays([batch.column("sizes"), batch.column("n"), pa.array(won, pa.list_(pa.float64()))],
+                                             names=["sizes", "n", "win"])
 
     # few rows, each of some work: deal them out one by one
-    return asked.repartition("sizes", "n").mapInArrow(solve, "sizes string, n long, size long, win double")
+    return asked.repartition("sizes", "n").mapInArrow(solve, "sizes array<long>, n long, win array<double>")
 
 
 def majority_moments(long: DataFrame, prompt: list[str], var: str, vote: str, value: str) -> DataFrame:
@@ -132,12 +173,12 @@ def majority_moments(long: DataFrame, prompt: list[str], var: str, vote: str, va
     ``long`` has a row per sample and variable. A null vote is a class like any
     other. Class sizes are counted per variable, so a variable that some samples
     lack is judged by the samples it has. Rows of a prompt are reduced to one per
-    class before anything is gathered, so a hot prompt costs its classes."""
+    class before anything is gathered, so a hot prompt costs its classes; as a
+    law depends on sizes alone, one row per prompt is joined with its law."""
     keys = [*prompt, var]
     per = long.groupBy(*keys, vote).agg(F.count(F.lit(1)).alias("size"), F.avg(value).alias("_m1"),
                                         F.avg(F.col(value) * F.col(value)).alias("_m2"))
-    shapes = class_sizes(per, keys)
-    joined = per.join(shapes, keys).join(laws(shapes), ["sizes", "size"])
-    mean = F.sum(F.col("win") * F.col("_m1"))
-    return joined.groupBy(*keys, "n").agg(mean.alias("maj_mean"), F.sum(F.col("win") * F.col("_m2")).alias("_sq")) \
+    shapes = class_sizes(per, keys, sums=("_m1", "_m2"))
+    expected = lambda x: F.aggregate(F.zip_with("win", x, lambda p, m: p * m), F.lit(0.0), lambda a, b: a + b)
+    return shapes.join(laws(shapes), "sizes").select(*keys, "n", expected("_m1").alias("maj_mean"), expected("_m2").alias("_sq")) \
         .withColumn("maj_std", F.sqrt(F.greatest(F.col("_sq") - F.col("maj_mean") * F.col("maj_mean"), F.lit(0.0)))).drop("_sq")
