@@ -5,7 +5,10 @@ rows over the words of the benchmark; a randomised singular value
 decomposition of that matrix, with the products over rows summed by Spark,
 gives a latent space. Passages whose cosine with an item passes a low bound
 are candidates, and a longest common subsequence of words around them, with a
-check of the item's answer, decides.
+check of the item's answer, decides. Frequent words carry no weight there, so
+an item that has some is also looked for exactly: a leak has all but a known
+number of the item's places, hence some among those of its rarest words, however
+frequent these are; where enough of them are near, the same check decides.
 
 Only matrices of vocabulary size times ``RANK`` come to the driver. The
 benchmark is the query set; it is taken in blocks of ``ITEMS_AT_ONCE`` items,
@@ -14,6 +17,8 @@ so what is shipped to tasks is bounded whatever its size.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +35,10 @@ OVERSAMPLE = 16
 MAX_BLOCK_SHARE = 0.001
 #: ... but for so many of the rarest words of each item, which always do.
 LEAST_TERMS = 6
+#: Passages looked at together in the exact search of items with such words, and
+#: the places of an item's rarest words that have to be near for a closer look.
+STRETCH = 16
+LEAST_NEAR = 4
 MIN_COSINE = 0.35
 MIN_LCS = 0.6
 SURE_LCS = 0.8
@@ -240,40 +249,90 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _search(weight: np.ndarray, space: np.ndarray, items: list[np.ndarray], item_ids: list):
+def _rarest_words(items: list[np.ndarray], rest: list[int], counts: np.ndarray):
+    """Postings (bounds by word, item, places) of the rarest words of the items
+    ``rest``, and how many of their places a text with a leak has at least: of an
+    item's places at most ``missing`` may lack."""
+    term, item, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    least = np.full(len(items), np.inf)
+    for q in rest:
+        t, m = np.unique(items[q], return_counts=True)
+        order = np.argsort(counts[t], kind="stable")
+        missing = len(items[q]) - math.ceil(MIN_LCS * len(items[q]) - 1e-9)
+        held = np.cumsum(m[order])
+        k = min(len(t), int(np.searchsorted(held, missing + LEAST_NEAR)) + 1)
+        term.append(t[order[:k]])
+        item.append(np.full(k, q))
+        places.append(m[order[:k]])
+        least[q] = held[k - 1] - missing
+    term, item, places = (np.concatenate(x) for x in (term, item, places))
+    order = np.argsort(term, kind="stable")
+    return np.searchsorted(term[order], np.arange(len(counts) + 1)), item[order], places[order], least
+
+
+def _search(weight: np.ndarray, space: np.ndarray, items: list[np.ndarray], item_ids: list, counts: np.ndarray):
     rows = (weight[:, None] * space).astype(np.float32)
     queries = _unit(np.array([rows[s].sum(0) for s in items], np.float32))
+    rest = [q for q, s in enumerate(items) if (weight[s] == 0).any()]
+    bounds, posted, places, least = _rarest_words(items, rest, counts)
+    margin = max((len(items[q]) for q in rest), default=0)
 
     def run(batches):
         masks = [place_masks(s) for s in items]
         tails = [place_masks(s[-ANSWER_WORDS:]) for s in items]
         there = np.zeros(len(weight), bool)
+
+        def shares(q, seq, start, end):
+            """Shares of item q and of its answer in order around these words; none if it is no leak."""
+            n = len(items[q])
+            near = seq[max(0, start - n):end + n]
+            there[near] = True
+            bound = np.count_nonzero(there[items[q]])  # a word that isn't near can't be in the subsequence
+            there[near] = False
+            if bound < MIN_LCS * n:
+                return None
+            near = near[near > 0].tolist()
+            lcs = lcs_length(masks[q], n, near) / n
+            if lcs < MIN_LCS:
+                return None
+            m = min(n, ANSWER_WORDS)
+            answer = lcs_length(tails[q], m, near) / m
+            return (lcs, answer) if lcs >= SURE_LCS or answer >= MIN_ANSWER else None
+
+        def frequent(seq):
+            """(item, start) of all leaks of items with words of no weight."""
+            n_passages = max(1, -(-len(seq) // STEP) - 1)
+            for a in range(0, n_passages, STRETCH):
+                start, end = a * STEP, min(a + STRETCH, n_passages) * STEP + PASSAGE - STEP
+                seen = np.unique(seq[max(0, start - margin):end + margin])
+                size = bounds[seen + 1] - bounds[seen]
+                at = np.repeat(bounds[seen] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                near = np.bincount(posted[at], places[at], minlength=len(items))
+                for q in np.flatnonzero(near >= least).tolist():
+                    if shares(q, seq, start, end):  # no less than around any of its passages
+                        for p in range(start, end - PASSAGE + 1, STEP):
+                            if found := shares(q, seq, p, p + PASSAGE):
+                                yield q, p, found
+
         for batch in batches:
             found = []
             ids = batch.column("doc_id").to_pylist()
             for lo, seqs in _chunks(batch):
                 got = _block_sums(seqs, rows)
-                if got is None:
-                    continue
-                text, first, z, _, _ = got
-                cosine = _unit(z) @ queries.T
+                text, first, cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(items)), np.float32)
+                if got is not None:
+                    text, first, z, _, _ = got
+                    cosine = _unit(z) @ queries.T
                 at_p, at_q = np.nonzero(cosine >= MIN_COSINE)
                 for p, q, t, start in zip(at_p.tolist(), at_q.tolist(), text[at_p].tolist(), first[at_p].tolist()):
-                    n = len(items[q])
-                    near = seqs[t][max(0, start - n):start + PASSAGE + n]
-                    there[near] = True
-                    bound = np.count_nonzero(there[items[q]])  # a word that isn't near can't be in the subsequence
-                    there[near] = False
-                    if bound < MIN_LCS * n:
-                        continue
-                    near = near[near > 0].tolist()
-                    lcs = lcs_length(masks[q], n, near) / n
-                    if lcs < MIN_LCS:
-                        continue
-                    m = min(n, ANSWER_WORDS)
-                    answer = lcs_length(tails[q], m, near) / m
-                    if lcs >= SURE_LCS or answer >= MIN_ANSWER:
-                        found.append((ids[lo + t], item_ids[q], start, float(cosine[p, q]), lcs, answer))
+                    if leak := shares(q, seqs[t], start, start + PASSAGE):
+                        found.append((ids[lo + t], item_ids[q], start, float(cosine[p, q]), *leak))
+                for t, seq in enumerate(seqs) if rest else ():
+                    for q, start, leak in frequent(seq):
+                        p = np.flatnonzero((text == t) & (first == start))
+                        like = float(cosine[p[0], q]) if len(p) else 0.0
+                        if like < MIN_COSINE:
+                            found.append((ids[lo + t], item_ids[q], start, like, *leak))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 6,
                                                 [pa.int64()] * 3 + [pa.float64()] * 3)],
@@ -303,7 +362,7 @@ def _one_block(texts: DataFrame, rows: list) -> DataFrame:
     weight = np.where(live, np.maximum(idf, 1e-3), 0.0)
     weight[0] = 0.0
     space = latent_space(seqs, weight, items)
-    return seqs.mapInArrow(_search(weight, space, items, item_ids), RESULT)
+    return seqs.mapInArrow(_search(weight, space, items, item_ids, counts), RESULT)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
