@@ -24,6 +24,8 @@ computation, and a size that several classes have enters as a power.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -174,9 +176,11 @@ def majority_moments(long: DataFrame, prompt: list[str], var: str, vote: str, va
     other. Class sizes are counted per variable, so a variable that some samples
     lack is judged by the samples it has. Rows of a prompt are reduced to one per
     class before anything is gathered, so a hot prompt costs its classes; as a
-    law depends on sizes alone, one row per prompt is joined with its law."""
+    law depends on sizes alone, one row per prompt is joined with its law. Rows
+    with a null key belong to no prompt and are left out."""
     keys = [*prompt, var]
-    per = long.groupBy(*keys, vote).agg(F.count(F.lit(1)).alias("size"), F.avg(value).alias("_m1"),
+    named = reduce(and_, (F.col(k).isNotNull() for k in keys))
+    per = long.where(named).groupBy(*keys, vote).agg(F.count(F.lit(1)).alias("size"), F.avg(value).alias("_m1"),
                                         F.avg(F.col(value) * F.col(value)).alias("_m2"))
     shapes = class_sizes(per, keys, sums=("_m1", "_m2"))
     expected = lambda x: F.aggregate(F.zip_with("win", x, lambda p, m: p * m), F.lit(0.0), lambda a, b: a + b)
