@@ -39,6 +39,8 @@ LEAST_TERMS = 6
 #: the places of an item's rarest words that have to be near for a closer look.
 STRETCH = 16
 LEAST_NEAR = 4
+#: Counters of (stretch, item), and hits, that a task holds at once.
+CELLS_AT_ONCE = 1_000_000
 MIN_COSINE = 0.35
 MIN_LCS = 0.6
 SURE_LCS = 0.8
@@ -158,7 +160,10 @@ def _block_counts(n_terms: int):
                 n = np.array([-(-len(s) // STEP) for s in seqs])
                 at = np.concatenate([[0], np.cumsum(n)])
                 block = np.concatenate([at[i] + np.arange(len(s)) // STEP for i, s in enumerate(seqs)])
-                pair = np.unique(block * n_terms + np.concatenate(seqs))
+                term = np.concatenate(seqs)
+                some = term > 0  # slot 0 is not counted
+                pair = np.sort(block[some] * n_terms + term[some])
+                pair = pair[np.diff(pair, prepend=-1) != 0]
                 total += np.bincount(pair % n_terms, minlength=n_terms)
                 blocks += int(at[-1])
         total[0] = blocks  # slot 0 stands for no word: it carries the number of blocks
@@ -270,11 +275,44 @@ def _rarest_words(items: list[np.ndarray], rest: list[int], counts: np.ndarray):
     return np.searchsorted(term[order], np.arange(len(counts) + 1)), item[order], places[order], least
 
 
+def _stretches(seqs: list[np.ndarray], postings, margin: int, n_items: int):
+    """(text, item, start, end) of the stretches of passages with enough places of
+    an item's rarest words within ``margin`` words, in order."""
+    bounds, posted, places, least = postings
+    held = np.diff(bounds)
+    n_passages = np.array([max(1, -(-len(s) // STEP) - 1) for s in seqs])
+    n_stretches = -(-n_passages // STRETCH)
+    at = np.concatenate([[0], np.cumsum(n_stretches)])
+    text = np.repeat(np.arange(len(seqs)), n_stretches)
+    start = (np.arange(at[-1]) - at[text]) * (STRETCH * STEP)
+    end = np.minimum(start + STRETCH * STEP, n_passages[text] * STEP) + PASSAGE - STEP
+    term = np.concatenate(seqs)
+    hit = np.flatnonzero(held[term])
+    # places over all texts laid end to end; a stretch sees the hits of its own text
+    laid = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
+    lo = np.searchsorted(hit, laid[text] + np.maximum(start - margin, 0))
+    hi = np.searchsorted(hit, np.minimum(laid[text] + end + margin, laid[text + 1]))
+    for i, j in slices((hi - lo + n_items).tolist(), CELLS_AT_ONCE):
+        size = hi[i:j] - lo[i:j]
+        of = np.repeat(np.arange(j - i), size)
+        seen = np.arange(len(of)) + np.repeat(lo[i:j] - np.cumsum(size) + size, size)
+        pair = np.sort(of * len(held) + term[hit[seen]])
+        pair = pair[np.diff(pair, prepend=-1) != 0]
+        of, word = np.divmod(pair, len(held))
+        size = held[word]
+        cell = np.repeat(of * n_items, size)
+        post = np.arange(len(cell)) + np.repeat(bounds[word] - np.cumsum(size) + size, size)
+        near = np.bincount(cell + posted[post], places[post], minlength=(j - i) * n_items).reshape(j - i, n_items)
+        r, q = np.nonzero(near >= least)
+        r += i
+        yield from zip(text[r].tolist(), q.tolist(), start[r].tolist(), end[r].tolist())
+
+
 def _search(weight: np.ndarray, space: np.ndarray, items: list[np.ndarray], item_ids: list, counts: np.ndarray):
     rows = (weight[:, None] * space).astype(np.float32)
     queries = _unit(np.array([rows[s].sum(0) for s in items], np.float32))
     rest = [q for q, s in enumerate(items) if (weight[s] == 0).any()]
-    bounds, posted, places, least = _rarest_words(items, rest, counts)
+    postings = _rarest_words(items, rest, counts)
     margin = max((len(items[q]) for q in rest), default=0)
 
     def run(batches):
@@ -291,7 +329,9 @@ def _search(weight: np.ndarray, space: np.ndarray, items: list[np.ndarray], item
             there[near] = False
             if bound < MIN_LCS * n:
                 return None
-            near = near[near > 0].tolist()
+            there[items[q]] = True
+            near = near[there[near]].tolist()  # nor can a word that isn't the item's
+            there[items[q]] = False
             lcs = lcs_length(masks[q], n, near) / n
             if lcs < MIN_LCS:
                 return None
@@ -299,20 +339,13 @@ def _search(weight: np.ndarray, space: np.ndarray, items: list[np.ndarray], item
             answer = lcs_length(tails[q], m, near) / m
             return (lcs, answer) if lcs >= SURE_LCS or answer >= MIN_ANSWER else None
 
-        def frequent(seq):
-            """(item, start) of all leaks of items with words of no weight."""
-            n_passages = max(1, -(-len(seq) // STEP) - 1)
-            for a in range(0, n_passages, STRETCH):
-                start, end = a * STEP, min(a + STRETCH, n_passages) * STEP + PASSAGE - STEP
-                seen = np.unique(seq[max(0, start - margin):end + margin])
-                size = bounds[seen + 1] - bounds[seen]
-                at = np.repeat(bounds[seen] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                near = np.bincount(posted[at], places[at], minlength=len(items))
-                for q in np.flatnonzero(near >= least).tolist():
-                    if shares(q, seq, start, end):  # no less than around any of its passages
-                        for p in range(start, end - PASSAGE + 1, STEP):
-                            if found := shares(q, seq, p, p + PASSAGE):
-                                yield q, p, found
+        def frequent(seqs):
+            """(text, item, start) of all leaks of items with words of no weight."""
+            for t, q, start, end in _stretches(seqs, postings, margin, len(items)):
+                if shares(q, seqs[t], start, end):  # no less than around any of its passages
+                    for p in range(start, end - PASSAGE + 1, STEP):
+                        if leak := shares(q, seqs[t], p, p + PASSAGE):
+                            yield t, q, p, leak
 
         for batch in batches:
             found = []
@@ -327,12 +360,11 @@ def _search(weight: np.ndarray, space: np.ndarray, items: list[np.ndarray], item
                 for p, q, t, start in zip(at_p.tolist(), at_q.tolist(), text[at_p].tolist(), first[at_p].tolist()):
                     if leak := shares(q, seqs[t], start, start + PASSAGE):
                         found.append((ids[lo + t], item_ids[q], start, float(cosine[p, q]), *leak))
-                for t, seq in enumerate(seqs) if rest else ():
-                    for q, start, leak in frequent(seq):
-                        p = np.flatnonzero((text == t) & (first == start))
-                        like = float(cosine[p[0], q]) if len(p) else 0.0
-                        if like < MIN_COSINE:
-                            found.append((ids[lo + t], item_ids[q], start, like, *leak))
+                for t, q, start, leak in frequent(seqs) if rest else ():
+                    p = np.flatnonzero((text == t) & (first == start))
+                    like = float(cosine[p[0], q]) if len(p) else 0.0
+                    if like < MIN_COSINE:
+                        found.append((ids[lo + t], item_ids[q], start, like, *leak))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 6,
                                                 [pa.int64()] * 3 + [pa.float64()] * 3)],
